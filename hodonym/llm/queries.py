@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hodonym.llm.canonical_values import canonical, dictionary
+from hodonym.llm.canonical_values import Dictionary, canonical, dictionary
 from hodonym.llm.format_duplicates import copy_counts, format_duplicates
 from hodonym.llm.skeletons import look_alike_groups, look_alike_pairs
 from hodonym.llm.sql import LLM_SQL  # noqa: F401
+from hodonym.llm.street_linkage import cadastre_side, registry_side, street_links
+from hodonym.llm.survivors import street_survivors
 from hodonym.llm.term_counts import item_counts, mark_items
 from hodonym.session import table
 
 NAME_FIELDS = ["core_name_norm", "name_normalized"]
 
 
+def p1_links(spark: SparkSession, d: str) -> DataFrame:
+    types = road_dictionary(spark, d)
+    return street_links(registry_side(table(spark, d, "streets"), types), cadastre_side(table(spark, d, "renns_streets"), table(spark, d, "uat_reference"), types))
+
+
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return p1_links(spark, d).select("street_id", "renns_id")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return format_duplicates(table(spark, d, "streets"), "id", "artera_raw", ["judet", "uat"])
 
@@ -32,6 +43,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return p4_counts(spark, d).where("mark is not null").select("field", "kind", "item", "mark")
 
 
+def road_dictionary(spark: SparkSession, d: str) -> Dictionary:
+    """The types of road_types; ranked by how often each is the type of a street."""
+    return dictionary(table(spark, d, "road_types"), "road_type", "abbreviation", table(spark, d, "streets"), "street_type")
+
+
+def p6_survivors(spark: SparkSession, d: str) -> DataFrame:
+    return street_survivors(table(spark, d, "streets"), road_dictionary(spark, d))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_survivors(spark, d).select("first_id", "name", "core_name", "street_type")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     types = table(spark, d, "road_types")
     typed = table(spark, d, "renns_streets").select(F.lit("renns_streets").alias("table_name"), F.col("id").alias("row_id"), F.col("road_type_raw").alias("typed"))
@@ -53,4 +77,4 @@ def p10_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, "skeleton").select(F.col("id").alias("doc_id"), "group_id")
 
 
-LLM_QUERIES = {"p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p7_found": p7_found, "p10_found": p10_found, "p10_groups": p10_groups}
+LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p10_found": p10_found, "p10_groups": p10_groups}

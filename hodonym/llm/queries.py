@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hodonym.llm.canonical_values import Dictionary, canonical, dictionary
 from hodonym.llm.format_duplicates import copy_counts, format_duplicates
 from hodonym.llm.leakage import WINDOW, leaked_passages
+from hodonym.llm.person_names import person_groups, same_person_pairs
 from hodonym.llm.skeletons import look_alike_groups, look_alike_pairs
 from hodonym.llm.sql import LLM_SQL  # noqa: F401
 from hodonym.llm.street_linkage import cadastre_side, registry_side, street_links
@@ -35,6 +36,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return copy_counts(table(spark, d, "streets"), "id", "artera_raw", ["judet", "uat"])
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return same_person_pairs(table(spark, d, "persons"), table(spark, d, "postal_streets"))
+
+
+def p3_groups(spark: SparkSession, d: str) -> DataFrame:
+    return person_groups(table(spark, d, "persons"), table(spark, d, "postal_streets"))
+
+
 def p4_counts(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "streets")
     return mark_items(item_counts(s, NAME_FIELDS), s)
@@ -86,4 +95,4 @@ def p10_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, "skeleton").select(F.col("id").alias("doc_id"), "group_id")
 
 
-LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p10_groups": p10_groups}
+LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p10_groups": p10_groups}

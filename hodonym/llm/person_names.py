@@ -194,16 +194,28 @@ def person_groups(persons: DataFrame, streets: DataFrame) -> DataFrame:
     stay = F.log("own_n") + F.when(F.coalesce("support", F.lit(99)) >= SUPPORT, 0.0).otherwise(UNSUPPORTED)
     chosen = names.select("s", "key", "n").join(own, "key", "left").join(best, "s", "left")
     moves = F.col("form").isNotNull() & (F.exp("top") >= 0.5 * F.col("sum")) & (F.col("own_n").isNull() | (F.col("top") > stay))
-    chosen = materialize(chosen.select("s", "n", "key", F.when(moves, F.col("form")).when(F.col("own_n").isNotNull(), F.col("key")).alias("person")).where("person is not null"), "chosen")
+    chosen = materialize(chosen.select("s", "key", F.when(moves, F.col("form")).when(F.col("own_n").isNotNull(), F.col("key")).alias("person"), F.col("own_n").isNotNull().alias("is_form")).where("person is not null"), "chosen")
 
-    # a form may itself be a spelling of another one: follow the most frequent spelling of each form
-    step = chosen.groupBy("key").agg(F.max_by("person", F.struct("n", "person")).alias("next")).where("key != next")
-    out = chosen.select(F.col("s").alias("name"), "person")
-    for _ in range(3):
-        out = out.join(step, out.person == step.key, "left").select("name", F.coalesce("next", "person").alias("person"))
+    # a form may itself be a spelling of another one; initials are no forms and join nothing
+    links = chosen.where("is_form and key != person").select(F.col("key").alias("a"), F.col("person").alias("b")).distinct()
+    label = _components(materialize(links, "links"))
+    out = chosen.join(label, chosen.person == label.node, "left").select(F.col("s").alias("name"), F.coalesce("label", "person").alias("person"))
     return out.where(~F.startswith("name", F.lit(MARK)))
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(node, label) of the links' components, label being the smallest node; as many rounds as the longest chain has links."""
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "label")
+    while True:
+        near = both.join(label, both.b == label.node).groupBy("a").agg(F.min("label").alias("least"))
+        new = label.join(near, label.node == near.a).select("node", F.least("label", "least").alias("label"), (F.col("least") < F.col("label")).alias("moved"))
+        new = materialize(new, "label")
+        label = new.drop("moved")
+        if new.where("moved").isEmpty():
+            return label
+
+
 def same_person_pairs(persons: DataFrame, streets: DataFrame) -> DataFrame:
     """(name_a, name_b), name_a < name_b: every two spellings of one person."""
     g = materialize(person_groups(persons, streets), "groups")

@@ -26,13 +26,16 @@ def vote(trust: F.Column, at: F.Column) -> F.Column:
 
 
 def field_winners(long: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
-    """The best value of each field per group, from long rows (group..., field, value, trust, at, votes), pivoted back.
+    """The best value of each field per group, pivoted back, with ``n_rows`` and ``first_id``.
 
-    Null values never win while another value exists; a field without any value is null.
+    ``long`` has a row per group, field and value (or several) with trust, at, votes, n and first_id. Null values never win while another
+    value exists; a field without any value is null.
     """
-    best = long.where("value is not null").groupBy(*group, "field", "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sum("votes").alias("votes"))
+    best = long.groupBy(*group, "field", "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
     rank = F.struct("trust", F.coalesce("at", F.lit(0).cast("timestamp")), F.round("votes", 6), "value")
-    return best.groupBy(*group).agg(*(F.max_by(F.when(F.col("field") == f, F.col("value")), F.when(F.col("field") == f, rank)).alias(f) for f in fields))
+    of = lambda f: F.col("field") == f
+    chosen = [F.max_by(F.when(of(f), F.col("value")), F.when(of(f) & F.col("value").isNotNull(), rank)).alias(f) for f in fields]
+    return best.groupBy(*group).agg(*chosen, F.sum(F.when(of(fields[0]), F.col("n"))).alias("n_rows"), F.min("first_id").alias("first_id"))
 
 
 def first_names(streets: DataFrame, share: int = 5_000, surer: int = 3) -> frozenset[str]:
@@ -55,19 +58,11 @@ def street_survivors(streets: DataFrame, types: Dictionary) -> DataFrame:
     """
     rows = parsed_spellings(streets, types, first_names(streets)).where("key != '' and not number")
     where = ["judet", "uat", "key"]
-    long = rows.select(*where, "kind", "id", "at", F.expr("stack(2, 'name', name, name_score, 'core_name', core_name, core_score) as (field, value, trust)"))
-    long = long.withColumn("votes", vote(F.col("trust"), F.col("at")))
-    values = long.groupBy(*where, "kind", "field", "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sum("votes").alias("votes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id"))
-    w = Window.partitionBy(*[F.coalesce(F.col(c), F.lit("")) for c in where])
-    one = F.when(F.min("kind").over(w) == F.max("kind").over(w), F.min("kind").over(w))
-    values = values.withColumn("street_type", F.coalesce("kind", one))
-    group = [*where, "street_type"]
-    rank = F.struct("trust", F.coalesce("at", F.lit(0).cast("timestamp")), F.round("votes", 6), "value")
-    of = lambda f: F.when(F.col("field") == f, F.col("value"))
-    best = values.groupBy(*group, "field", "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
-    winners = best.groupBy(*group).agg(
-        *(F.max_by(of(f), F.when((F.col("field") == f) & F.col("value").isNotNull(), rank)).alias(f) for f in ("name", "core_name")),
-        F.sum(F.when(F.col("field") == "name", F.col("n"))).alias("n_rows"),
-        F.min("first_id").alias("first_id"),
+    spelt = rows.groupBy(*where, "kind", "name", "core_name").agg(
+        *(F.max(c).alias(c) for c in ("name_score", "core_score", "at")), F.sum(vote(F.col("name_score"), F.col("at"))).alias("name_votes"), F.sum(vote(F.col("core_score"), F.col("at"))).alias("core_votes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
     )
-    return winners.where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")
+    w = Window.partitionBy(*where)  # what follows stays in this partitioning
+    typed = spelt.withColumn("street_type", F.coalesce("kind", F.when(F.min("kind").over(w) == F.max("kind").over(w), F.min("kind").over(w))))
+    long = typed.select(*where, "street_type", "at", "n", "first_id", F.expr("stack(2, 'name', name, name_score, name_votes, 'core_name', core_name, core_score, core_votes) as (field, value, trust, votes)"))
+    best = field_winners(long, [*where, "street_type"], ["name", "core_name"])
+    return best.where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from hodonym.llm.canonical_values import Dictionary, canonical, dictionary
 from hodonym.llm.format_duplicates import copy_counts, format_duplicates
 from hodonym.llm.leakage import WINDOW, leaked_passages
+from hodonym.llm.packing import container_use, pack_containers
 from hodonym.llm.person_names import person_groups, same_person_pairs
 from hodonym.llm.skeletons import look_alike_groups, look_alike_pairs
 from hodonym.llm.sql import LLM_SQL  # noqa: F401
@@ -76,6 +77,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return odd.select("table_name", "row_id", canonical(words)(F.col("typed")).alias("road_type"))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return pack_containers(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "containers"))
+
+
+def p8_use(spark: SparkSession, d: str) -> DataFrame:
+    return container_use(p8_containers(spark, d), table(spark, d, "containers"))
+
+
 def p9_alignments(spark: SparkSession, d: str) -> DataFrame:
     return leaked_passages(table(spark, d, "documents"), "doc_id", "text", table(spark, d, "eval_items"), "item_id", "text")
 
@@ -95,4 +104,4 @@ def p10_groups(spark: SparkSession, d: str) -> DataFrame:
     return g.join(heads, "skeleton").select(F.col("id").alias("doc_id"), "group_id")
 
 
-LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p10_groups": p10_groups}
+LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_use": p8_use, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p10_groups": p10_groups}

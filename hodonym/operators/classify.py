@@ -57,11 +57,11 @@ def top_name_class() -> Column:
 
 def macro_class() -> Column:
     """Numbers are not told apart; of the categories only ideological ones count."""
-    return _rules((_flag("is_saint"), "saint"), (_flag("is_date"), "date"), (F.col("has_person"), "person"), (F.col("has_nature"), "nature"), (F.col("has_place"), "place"), (F.col("subcategory") == "ideological", "ideologic"), otherwise="other")
+    return _rules((_flag("is_saint"), "saint"), (_flag("is_date"), "date"), (F.col("has_person"), "person"), (F.col("has_nature"), "nature"), (F.col("has_place"), "place"), (F.col("category") == "ideological", "ideologic"), otherwise="other")
 
 
 def unit_theme_class() -> Column:
-    return _rules((_flag("is_saint"), "saint"), (_flag("is_date"), "date"), (_flag("is_numeric"), "numeric"), (F.col("has_person"), "person"), (F.col("has_nature"), "nature"), (F.col("has_place"), "place"), (F.col("subcategory") == "ideological", "ideologic"), otherwise="other")
+    return _rules((_flag("is_saint"), "saint"), (_flag("is_date"), "date"), (_flag("is_numeric"), "numeric"), (F.col("has_person"), "person"), (F.col("has_nature"), "nature"), (F.col("has_place"), "place"), (F.col("category") == "ideological", "ideologic"), otherwise="other")
 
 
 def municipality_class() -> Column:

@@ -27,7 +27,7 @@ NATURE = [
     ("muntelui", "munte", "landform"), ("stancii", "stâncă", "landform"), ("campiei", "câmpie", "landform"), ("vantului", "vânt", "weather"), ("furtunii", "furtună", "weather"), ("soarelui", "soare", "sky"), ("stelelor", "stea", "sky"),
 ]
 CATEGORIES = [
-    ("eroilor", "memorial", "ideological"), ("republicii", "political", "ideological"), ("independentei", "political", "ideological"), ("unirii", "political", "ideological"), ("muncii", "abstract", "ideological"), ("progresului", "abstract", "ideological"),
+    ("eroilor", "ideological", "memorial"), ("republicii", "ideological", "political"), ("independentei", "ideological", "political"), ("unirii", "ideological", "political"), ("muncii", "ideological", "abstract"), ("progresului", "ideological", "abstract"),
     ("prieteniei", "abstract", None), ("armoniei", "abstract", None), ("sperantei", "abstract", None), ("dreptatii", "abstract", None), ("recoltei", "abstract", None),
     ("fierarilor", "trade", None), ("dogarilor", "trade", None), ("zidarilor", "trade", None), ("olarilor", "trade", None), ("croitorilor", "trade", None), ("pescarilor", "occupational", None), ("aviatorilor", "occupational", None), ("marinarilor", "occupational", None),
     ("bisericii", "institutional", None), ("garii", "institutional", None), ("spitalului", "institutional", None), ("primariei", "institutional", None), ("morii", "institutional", None), ("fabricii", "institutional", None), ("gradinitei", "institutional", None),

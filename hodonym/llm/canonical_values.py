@@ -141,7 +141,7 @@ def canonical(words: Dictionary) -> "callable":
     @F.pandas_udf("string")
     def look_up(typed: pd.Series) -> pd.Series:
         known = {t: words.meant(t) or UNMATCHED for t in typed.dropna().unique()}
-        return typed.map(known)
+        return pd.Series([known.get(t) if isinstance(t, str) else None for t in typed], dtype=object)
 
     def of(c: Column) -> Column:
         return F.when(c.isNotNull(), look_up(c))

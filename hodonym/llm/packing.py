@@ -28,13 +28,33 @@ SHARD = 20_000
 _OUT = "container_kind string, container_id string, doc_id long, part int, first_token long, n_tokens long"
 
 
+#: Characters after which a text is tokenised in pieces.
+PIECE = 20_000
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The text in pieces of about ``PIECE`` characters, cut before a blank between words, where no token crosses.
+
+    A run of ``PIECE`` characters without such a place is cut at its end, and counts as the tokens of its pieces.
+    """
+    start = 0
+    while len(text) - start > PIECE:
+        at = end = start + PIECE
+        while at > start and not (text[at] == " " and not text[at - 1].isspace() and text[at + 1 : at + 2].isalpha()):
+            at = max(text.rfind(" ", start, at), start)
+        cut = at if at > start else end
+        yield text[start:cut]
+        start = cut
+    yield text[start:]
+
+
 def token_counter(vocabulary: str = VOCABULARY):
     import tiktoken
 
     with open(vocabulary, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
     coder = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: len(coder.encode_ordinary(text))
+    return lambda text: sum(len(coder.encode_ordinary(p)) for p in pieces(text))
 
 
 def token_counts(docs: DataFrame, doc_id: str, text: str, shards: int, vocabulary: str = VOCABULARY) -> DataFrame:

@@ -48,7 +48,7 @@ def _side(rows: Iterator[pa.RecordBatch], types: Dictionary, units: dict[int, tu
                 if len(places) > 200_000:
                     places.clear()
                 j, n = units[at[2]] if units is not None and at[2] in units else (at[0], at[1])
-                places[at] = f"{j}|{unit_name(n)}"
+                places[at] = f"{j}|{name}" if j and (name := unit_name(n)) else None
             kind, words = p.split(cols[3][i] or "")
             if units is not None:
                 kind = types.meant(cols[5][i]) or types.meant(cols[6][i]) or kind
@@ -60,7 +60,7 @@ def _side(rows: Iterator[pa.RecordBatch], types: Dictionary, units: dict[int, tu
 
 def registry_side(streets: DataFrame, types: Dictionary) -> DataFrame:
     cols = [F.col("id").cast("long"), "judet", "uat", "artera_raw"]
-    return streets.where("id is not null").select(*cols).mapInArrow(lambda it: _side(it, types, None), _SIDE).where("key != ''")
+    return streets.where("id is not null").select(*cols).mapInArrow(lambda it: _side(it, types, None), _SIDE).where("key != '' and muni is not null")
 
 
 def cadastre_side(renns: DataFrame, units: DataFrame, types: Dictionary) -> DataFrame:
@@ -69,7 +69,7 @@ def cadastre_side(renns: DataFrame, units: DataFrame, types: Dictionary) -> Data
         raise ValueError(f"the list of municipalities may have {MOST_UNITS} rows")
     known = {r[0]: (r[1], r[2]) for r in rows}
     cols = [F.col("id").cast("long"), "judet", "locality_raw", "name", F.col("uat_siruta").cast("int"), "road_type_raw", "street_type"]
-    return renns.where("id is not null").select(*cols).mapInArrow(lambda it: _side(it, types, known), _SIDE).where("key != ''")
+    return renns.where("id is not null").select(*cols).mapInArrow(lambda it: _side(it, types, known), _SIDE).where("key != '' and muni is not null")
 
 
 def _deletions(c: Column) -> Column:
@@ -188,7 +188,7 @@ def street_links(registry: DataFrame, cadastre: DataFrame, least: float = 0.5) -
     """(street_id, renns_id, confidence): the pairs with at least ``least`` confidence, from the sides of ``registry_side`` and ``cadastre_side``.
 
     Streets of different types are never the same. A cadastre row goes to its most confident street; if two are equally
-    confident and the row has no type, it stays without one. Rows without a name are linked with nothing.
+    confident, it stays without one. Rows without a name or a municipality are linked with nothing; a repeated row repeats its pairs.
     """
     spark = registry.sparkSession
     registry, cadastre = materialize(registry, "registry"), materialize(cadastre, "cadastre")
@@ -204,7 +204,7 @@ def street_links(registry: DataFrame, cadastre: DataFrame, least: float = 0.5) -
     table = spark.createDataFrame([(*v, float(c)) for v, c in zip(votes, sure)], ", ".join(f"{n} byte" for n in names) + ", confidence double")
     sure_ = voted.join(F.broadcast(table), names).where((F.col("confidence") >= least) & (F.col("v0") >= 0))
     best = sure_.groupBy("rid").agg(F.max("confidence").alias("top"))
-    top = sure_.join(best, "rid").where("confidence = top")
+    top = sure_.join(best, "rid").where("confidence = top").dropDuplicates(["rid", "muni", "key", "kind"])
     alone = top.groupBy("rid").agg(F.count(F.lit(1)).alias("n"), *(F.first(c).alias(c) for c in ("muni", "key", "kind", "confidence"))).where("n = 1")
     sole = streets.select("muni", "key", F.when(F.size("kinds") == 1, F.col("kinds")[0]).alias("sole"))
     target = alone.join(sole, ["muni", "key"]).select(F.col("muni").alias("m"), F.col("key").alias("k"), F.col("kind").alias("t"), "sole", F.col("rid").alias("renns_id"), "confidence")

@@ -7,10 +7,13 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def session(name: str = "hodonym", cpus: int | str = "*", **conf: str) -> SparkSession:
@@ -46,6 +49,23 @@ def scratch_dir(spark: SparkSession) -> str:
     return "file://" + _OWN[app]
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give this package to the Python workers, wherever they run; once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    _SHIPPED.add(app)
+    at = scratch_dir(spark)
+    folder = Path(at.removeprefix("file://")) if at.startswith("file://") else Path(tempfile.mkdtemp(prefix="hodonym-"))  # the driver serves it
+    folder.mkdir(parents=True, exist_ok=True)
+    package = Path(__file__).resolve().parent
+    name = folder / f"{package.name}-{app}.zip"
+    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(str(name))
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that losing executors costs no more than a re-read."""
     at = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

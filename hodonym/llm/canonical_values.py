@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hodonym.session import ship_code
+
 UNMATCHED = "unmatched"
 #: Most entries that the dictionary may have; it is sent to every task.
 MOST_ENTRIES = 5_000
@@ -127,6 +129,7 @@ class Dictionary:
 
 def dictionary(entries: DataFrame, entry: str, short: str, typed: DataFrame, value: str) -> Dictionary:
     """The dictionary of ``entries``, ranked by how often each entry is itself typed in ``typed[value]``."""
+    ship_code(entries.sparkSession)
     rows = [tuple(r) for r in entries.select(entry, short).where(F.col(entry).isNotNull()).orderBy(entry).limit(MOST_ENTRIES + 1).collect()]
     if len(rows) > MOST_ENTRIES:
         raise ValueError(f"a canonical list may have {MOST_ENTRIES} entries")

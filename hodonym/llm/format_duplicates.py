@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hodonym.session import materialize, parallelism
+from hodonym.session import materialize, parallelism, ship_code
 
 #: Separates the parts of a key; no word holds it.
 SEP = "\x1f"
@@ -65,6 +65,7 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def adjacent_runs(df: DataFrame, key: str, row_id: str) -> DataFrame:
     """(id, head): ``head`` is the smallest id among the rows with the same ``key``. Ids must be unique and not null."""
     spark = df.sparkSession
+    ship_code(spark)
     n = parallelism(spark)
     sorted_ = df.select(F.col(key).alias("key"), F.col(row_id).cast("long").alias("id")).repartitionByRange(n, "key", "id").sortWithinPartitions("key", "id")
     runs = materialize(sorted_.mapInArrow(_scan, _RUNS), "runs")

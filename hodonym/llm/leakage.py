@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hodonym.llm.skeletons import skeleton
+from hodonym.session import ship_code
 
 #: Words of a seed, and the consecutive words that make a leak.
 SEED, WINDOW = 4, 12
@@ -137,6 +138,7 @@ def leaked_passages(docs: DataFrame, doc_id: str, text: str, items: DataFrame, i
     neither.
     """
     spark = docs.sparkSession
+    ship_code(spark)
     rows = docs.where(F.col(text).isNotNull() & F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     out = None
     for block in _blocks(items, item_id, item_text):

@@ -19,6 +19,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hodonym.session import ship_code
+
 #: Where the vocabulary of the public tokenizer lies.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pattern by which byte-level BPE splits a text first.
@@ -149,6 +151,7 @@ def pack_containers(docs: DataFrame, doc_id: str, text: str, containers: DataFra
     are left out, texts without tokens take no room. Kinds without a positive capacity hold nothing. A repeated kind counts once, with
     its largest capacity.
     """
+    ship_code(docs.sparkSession)
     kinds = [tuple(r) for r in containers.where("container_kind is not null and capacity_tokens > 0").groupBy("container_kind").agg(F.max("capacity_tokens").cast("long")).collect()]  # a short list
     shards = max(1, -(-docs.count() // SHARD))
     sized = token_counts(docs, doc_id, text, shards, vocabulary)

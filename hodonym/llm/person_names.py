@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 from hodonym.llm.canonical_values import edit_cost, fold
 from hodonym.llm.nicknames import givens
 from hodonym.llm.street_names import TITLES
-from hodonym.session import materialize
+from hodonym.session import materialize, ship_code
 
 # Folded words that tell generations of one name apart, each with its mark.
 GENERATIONS = {
@@ -161,6 +161,7 @@ def person_groups(persons: DataFrame, streets: DataFrame) -> DataFrame:
 
     Null and empty names are left out; titles do not count; the words for a generation keep namesakes apart.
     """
+    ship_code(persons.sparkSession)
     given = given_names(persons)
     facts = [F.col(f).cast("string").alias(f) for f in FACTS]
     p = persons.where("core_name_norm is not null and core_name_norm != ''").select(F.col("core_name_norm").alias("s"), _key("full_name").alias("full"), *facts)

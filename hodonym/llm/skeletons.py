@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hodonym.session import ship_code
+
 # Letters of other scripts beside the Latin letters that look the same.
 LOOK_ALIKES = """
 а a  с c  ԁ d  е e  һ h  і i  ј j  о o  р p  ԛ q  ѕ s  ѵ v  ԝ w  х x  у y  ӏ l
@@ -74,6 +76,7 @@ def look_alike_groups(df: DataFrame, row_id: str, text: str) -> DataFrame:
     Null texts and texts without any visible character are left out. Rows are counted per (skeleton, text) before anything
     is gathered by skeleton, so the copies of one text never come together in a task.
     """
+    ship_code(df.sparkSession)
     ids = df.schema[row_id].dataType.simpleString()
     rows = df.select(F.col(row_id).alias("id"), F.col(text).alias("text")).where("text is not null and id is not null and trim(text) != ''")
     marked = rows.mapInArrow(_digests, f"id {ids}, skeleton binary, text binary")

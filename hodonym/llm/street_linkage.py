@@ -20,7 +20,7 @@ from hodonym.llm.canonical_values import EDITED, Dictionary, edit_cost, fold
 from hodonym.llm.label_model import LabelModel
 from hodonym.llm.nicknames import givens
 from hodonym.llm.street_names import SAINT, TITLES, Parser, core_words, is_number
-from hodonym.session import materialize
+from hodonym.session import materialize, ship_code
 
 #: Most municipalities of the reference list that may be sent to every task (the list is fixed).
 MOST_UNITS = 100_000
@@ -59,11 +59,15 @@ def _side(rows: Iterator[pa.RecordBatch], types: Dictionary, units: dict[int, tu
 
 
 def registry_side(streets: DataFrame, types: Dictionary) -> DataFrame:
+    """Each registry row as ``_SIDE``; rows without a name or a municipality are left out."""
+    ship_code(streets.sparkSession)
     cols = [F.col("id").cast("long"), "judet", "uat", "artera_raw"]
     return streets.where("id is not null").select(*cols).mapInArrow(lambda it: _side(it, types, None), _SIDE).where("key != '' and muni is not null")
 
 
 def cadastre_side(renns: DataFrame, units: DataFrame, types: Dictionary) -> DataFrame:
+    """Each cadastre row as ``_SIDE``, its municipality by code or, where the list has no such code, by name."""
+    ship_code(renns.sparkSession)
     rows = units.where("siruta is not null").select("siruta", "judet", "uat").limit(MOST_UNITS + 1).collect()  # a fixed list
     if len(rows) > MOST_UNITS:
         raise ValueError(f"the list of municipalities may have {MOST_UNITS} rows")

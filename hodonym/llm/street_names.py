@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hodonym.llm.canonical_values import SHORTENED, Dictionary, fold
+from hodonym.session import ship_code
 
 # Folded words that stand before a person's name and are no part of it.
 TITLES = frozenset(
@@ -139,5 +140,6 @@ def parsed_spellings(streets: DataFrame, types: Dictionary, first: frozenset[str
             columns = [b.column(0), b.column(1), b.column(2), pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(numbers, pa.bool_()), b.column(4), pa.array(scores, pa.int64()), b.column(5), pa.array(cores, pa.int64()), b.column(6)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
 
+    ship_code(streets.sparkSession)
     cols = [F.col("id").cast("long"), "judet", "uat", "artera_raw", "name", "core_name", F.col("recorded_at").cast("timestamp").alias("at")]
     return streets.select(*cols).mapInArrow(parse, "id long, judet string, uat string, kind string, key string, number boolean, name string, name_score long, core_name string, core_score long, at timestamp")

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hodonym.session import ship_code
+
 #: Terms that a task holds before it hands its counters on.
 HELD = 200_000
 _SCHEMA = pa.schema([("field", pa.int8()), ("kind", pa.int8()), ("item", pa.string()), ("occurrences", pa.int64()), ("records", pa.int64())])
@@ -63,6 +65,7 @@ def item_counts(df: DataFrame, fields: list[str]) -> DataFrame:
     A term is a part between white space (of any kind), kept as it is. Null and '' are no values; a value of white space
     only is a value without terms.
     """
+    ship_code(df.sparkSession)
     counted = df.select(*(F.col(c).cast("string").alias(f"f{i}") for i, c in enumerate(fields))).mapInArrow(_counters, "field tinyint, kind tinyint, item string, occurrences long, records long")
     summed = counted.groupBy("field", "kind", "item").agg(F.sum("occurrences").alias("occurrences"), F.sum("records").alias("records"))
     name = lambda c, names: F.element_at(F.array(*map(F.lit, names)), F.col(c).cast("int") + 1)

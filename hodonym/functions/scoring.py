@@ -41,3 +41,8 @@ def cause_macro(label: Column) -> Column:
     for name, pattern in CAUSES.items():
         out = out.when(F.lower(label).rlike(pattern), name)
     return out.otherwise("other")
+
+
+def candidate_confidence(name: Column, label: Column, known: Column) -> Column:
+    """0.95 for the same name where something else is known of the person, 0.85 where nothing is, 0.7 for a longer label."""
+    return F.when(F.lower(name) == F.lower(label), F.when(known, 0.95).otherwise(0.85)).when(F.contains(F.lower(label), F.lower(name)), 0.7)

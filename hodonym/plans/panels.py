@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hodonym.functions import text as tx
-from hodonym.functions.scoring import CAUSES, cause_macro, class_rank, group_zscore, scope
+from hodonym.functions.scoring import CAUSES, candidate_confidence, cause_macro, class_rank, group_zscore, scope
 from hodonym.operators import filters as fl
 from hodonym.operators import match, profiles, upserts
 from hodonym.operators.classify import coverage_class, filter_class, macro_class, municipality_class, street_theme, top_name_class, unit_theme_class
@@ -634,3 +634,82 @@ def mapped_postal_types(v: Views) -> DataFrame:
     return v.table("postal_streets").select("id", tx.map_street_type(F.col("tip_artera_raw")).alias("street_type"))
 
 
+
+
+# ---- further reports and searches ---------------------------------------------------------------------------------------
+
+
+@panel("select siruta, name, highway_class, importance, rn from (select *, row_number() over (partition by siruta order by importance desc, id) rn from (select * exclude (rn) from osm)) where rn <= 10")
+def importance_top_by_unit(v: Views) -> DataFrame:
+    return profiles.top_per_group(v.osm, ["siruta"], [F.desc("importance"), "id"], 10).select("siruta", "name", "highway_class", "importance", "rn")
+
+
+@panel("select siruta, count(distinct s.id) streets, count(distinct m.left_id) matched, 2 * count(distinct m.left_id) < count(distinct s.id) low from sd s left join osm_m m on m.left_id = s.id group by 1")
+def coverage_by_unit(v: Views) -> DataFrame:
+    x = v.sd.join(v.osm_m.select(F.col("left_id").alias("id"), F.lit(1).alias("hit")).distinct(), "id", "left").groupBy("siruta").agg(n_rows().alias("streets"), F.count("hit").alias("matched"))
+    return x.withColumn("low", 2 * F.col("matched") < F.col("streets"))
+
+
+@panel("select siruta, name, importance, rn from (select siruta, name, importance, row_number() over (partition by siruta order by importance desc, id) rn from osm where id not in (select right_id from osm_m)) where rn <= 3")
+def unmatched_roads_by_unit(v: Views) -> DataFrame:
+    x = v.osm.join(v.osm_m.select(F.col("right_id").alias("id")), "id", "left_anti")
+    return profiles.top_per_group(x, ["siruta"], [F.desc("importance"), "id"], 3).select("siruta", "name", "importance", "rn")
+
+
+@panel(f"select gender, honorees, km, {_pct('km', 'sum(km) over ()')} pct from (select gender, count(distinct full_name) honorees, sum(o.length_m) / 1000.0 km from sd s join p on p.core_name_norm = s.core_name_norm {_ROADS} where gender in ('F', 'M') group by 1)")
+def gender_km_share(v: Views) -> DataFrame:
+    g = _roads(v, _persons(v, "full_name", "gender").where("gender in ('F', 'M')")).groupBy("gender").agg(F.count_distinct("full_name").alias("honorees"), (F.sum("length_m") / 1000.0).alias("km"))
+    return g.withColumn("pct", pct(F.col("km"), F.sum("km").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))  # two rows
+
+
+@panel("select full_name, age, streets from (select min(full_name) full_name, min(death_year) - min(birth_year) age, count(*) streets, core_name_norm from sd join p using (core_name_norm) where birth_year is not null and death_year is not null group by core_name_norm) order by age, core_name_norm limit 10")
+def died_young(v: Views) -> DataFrame:
+    g = _persons(v, "full_name", "birth_year", "death_year").where("birth_year is not null and death_year is not null").groupBy("core_name_norm")
+    g = g.agg(F.min("full_name").alias("full_name"), (F.min("death_year") - F.min("birth_year")).alias("age"), n_rows().alias("streets"))
+    return g.orderBy("age", "core_name_norm").limit(10).drop("core_name_norm")
+
+
+@panel("select judet, full_name, v as views, rn from (select judet, full_name, max(wiki_ro_views)::bigint v, row_number() over (partition by judet order by max(wiki_ro_views) desc, full_name) rn from sd join p using (core_name_norm) where wiki_ro_views is not null group by 1, 2) where rn <= 5")
+def most_viewed_by_judet(v: Views) -> DataFrame:
+    g = _persons(v, "full_name", "wiki_ro_views").where("wiki_ro_views is not null").groupBy("judet", "full_name").agg(F.max("wiki_ro_views").cast("long").alias("views"))
+    return profiles.top_per_group(g, ["judet"], [F.desc("views"), "full_name"], 5)
+
+
+@panel(f"select u.siruta, theme, round(u.s - n.s, 6) delta from (select siruta, {_V6} theme, count(*)::double / sum(count(*)) over (partition by siruta) s from st group by 1, 2) u join (select {_V6} theme, count(*)::double / sum(count(*)) over () s from st group by 1) n using (theme)")
+def theme_deltas_by_unit(v: Views) -> DataFrame:
+    x = v.star.select("siruta", unit_theme_class().alias("theme")).groupBy("siruta", "theme").agg(n_rows().alias("k"))
+    here = F.col("k").cast("double") / F.sum("k").over(Window.partitionBy("siruta"))
+    nation = x.groupBy("theme").agg(F.sum("k").alias("t"))
+    nation = nation.withColumn("n_share", F.col("t").cast("double") / F.sum("t").over(Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))  # a row per theme
+    return x.withColumn("share", here).join(nation, "theme").select("siruta", "theme", F.round(F.col("share") - F.col("n_share"), 6).alias("delta"))
+
+
+@panel(f"select n name_normalized, streets, uats >= 5 has_page from {_NAMES} where contains(regexp_replace(lower(strip_accents(disp)), '[^a-z0-9 -]', '', 'g'), 'ilor') order by uats >= 5 desc, streets desc, n limit 20")
+def search_names(v: Views) -> DataFrame:
+    x = _names(v).where(F.contains(tx.search_key(F.col("disp")), tx.search_key(F.lit("ilor")))).withColumn("has_page", F.col("uats") >= 5)
+    return x.orderBy(F.desc("has_page"), F.desc("streets"), "n").limit(20).select(F.col("n").alias("name_normalized"), "streets", "has_page")
+
+
+@panel("select min(judet) judet, siruta, count(*) total, sum(is_numeric)::bigint numeric_streets from sd group by siruta having sum(is_numeric) > 0")
+def numeric_share_by_unit(v: Views) -> DataFrame:
+    return v.sd.groupBy("siruta").agg(F.min("judet").alias("judet"), n_rows().alias("total"), F.sum("is_numeric").alias("numeric_streets")).where("numeric_streets > 0")
+
+
+@panel("""select core_name_norm, arg_min(qid, (1 - sure, qid)) qid, max(sure) sure from (select a.core_name_norm, b.wikidata_qid qid,
+    case when lower(b.full_name) = lower(a.full_name) then case when a.gender is not null or a.birth_year is not null or a.death_year is not null then 0.95::double else 0.85::double end else 0.7::double end sure
+    from p a join p b on b.wikidata_qid is not null and string_split(lower(a.full_name), ' ')[-1] = string_split(lower(b.full_name), ' ')[-1] and contains(lower(b.full_name), lower(a.full_name)) where a.wikidata_qid is null) group by 1""")
+def identifier_candidates(v: Views) -> DataFrame:
+    """The best identifier for persons without one: by the same name, or as part of a longer one that ends alike."""
+    name = F.lower("full_name")
+    last = F.element_at(F.split(name, " "), -1)
+    a = v.persons.where("wikidata_qid is null").select("core_name_norm", name.alias("name"), last.alias("last"), F.expr("gender is not null or birth_year is not null or death_year is not null").alias("known"))
+    b = v.persons.where("wikidata_qid is not null").select(F.col("wikidata_qid").alias("qid"), name.alias("label"), last.alias("last"))
+    x = a.join(b, "last").where(F.contains("label", F.col("name")))
+    x = x.withColumn("sure", candidate_confidence(F.col("name"), F.col("label"), F.col("known")))
+    return x.groupBy("core_name_norm").agg(F.max_by("qid", F.struct("sure", F.translate("qid", "0123456789", "9876543210"))).alias("qid"), F.max("sure").alias("sure"))
+
+
+@panel("select model, left(regexp_replace(lower(regexp_replace(string_split(model, '/')[-1], '-\\d{8}$', '')), '[^a-z0-9.-]', '-', 'g'), 40) slug from (select distinct source || '/' || lang || '_X-20240101' model from documents where lang is not null)")
+def label_source_slugs(v: Views) -> DataFrame:
+    m = v.table("documents").where("lang is not null").select(F.concat("source", F.lit("/"), "lang", F.lit("_X-20240101")).alias("model")).distinct()
+    return m.select("model", tx.source_slug(F.col("model")).alias("slug"))

@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 @dataclass(frozen=True)
@@ -18,20 +19,44 @@ class Tier:
     keys: tuple[tuple[str, str, bool], ...]
 
 
+def _runs(tiers: list[Tier]) -> list[list[Tier]]:
+    """Consecutive tiers of which each loosens the one before."""
+    out: list[list[Tier]] = []
+    for t in tiers:
+        if out and set(t.keys) <= set(out[-1][-1].keys):
+            out[-1].append(t)
+        else:
+            out.append([t])
+    return out
+
+
 def tiered_match(left: DataFrame, left_id: str, right: DataFrame, right_id: str, tiers: list[Tier]) -> DataFrame:
-    """(left_id, right_id, match_type, confidence); many-to-many within a tier. All tiers are equi-joins."""
+    """(left_id, right_id, match_type, confidence); many-to-many within a tier. All joins are equi-joins.
+
+    Tiers that only loosen the one before share one join on the loosest keys; a left row keeps the pairs of its first tier that has any,
+    which is told within the join's own partitions.
+    """
     used_l = [left_id, *dict.fromkeys(a for t in tiers for a, _, _ in t.keys)]
     used_r = [right_id, *dict.fromkeys(b for t in tiers for _, b, _ in t.keys)]
-    a = left.select(*(F.col(c).alias(f"l_{c}") for c in dict.fromkeys(used_l)))
+    rest = left.select(*(F.col(c).alias(f"l_{c}") for c in dict.fromkeys(used_l)))
     b = right.select(*(F.col(c).alias(f"r_{c}") for c in dict.fromkeys(used_r)))
+    both = lambda t: reduce(lambda x, y: x & y, (F.col(f"l_{x}").eqNullSafe(F.col(f"r_{y}")) if safe else F.col(f"l_{x}") == F.col(f"r_{y}") for x, y, safe in t.keys))
     found: list[DataFrame] = []
-    rest = a
-    for k, t in enumerate(tiers):
-        cond = reduce(lambda x, y: x & y, (F.col(f"l_{x}").eqNullSafe(F.col(f"r_{y}")) if safe else F.col(f"l_{x}") == F.col(f"r_{y}") for x, y, safe in t.keys))
-        hit = rest.join(b, cond).select(F.col(f"l_{left_id}").alias("left_id"), F.col(f"r_{right_id}").alias("right_id"), F.lit(t.name).alias("match_type"), F.lit(t.confidence).alias("confidence"))
-        found.append(hit)
-        if k + 1 < len(tiers):
-            rest = rest.join(b, cond, "left_anti")
+    runs = _runs(tiers)
+    for k, run in enumerate(runs):
+        loosest = run[-1]
+        pairs = rest.join(b, both(loosest))
+        place = F.lit(len(run) - 1)
+        for i in range(len(run) - 2, -1, -1):
+            place = F.when(both(run[i]), i).otherwise(place)
+        pairs = pairs.withColumn("_tier", place)
+        if len(run) > 1:
+            near = Window.partitionBy(*(f"l_{x}" for x, _, _ in loosest.keys), f"l_{left_id}")
+            pairs = pairs.withColumn("_first", F.min("_tier").over(near)).where("_tier = _first")
+        name, sure = (F.element_at(F.array(*(F.lit(getattr(t, x)) for t in run)), F.col("_tier") + 1) for x in ("name", "confidence"))
+        found.append(pairs.select(F.col(f"l_{left_id}").alias("left_id"), F.col(f"r_{right_id}").alias("right_id"), name.alias("match_type"), sure.alias("confidence")))
+        if k + 1 < len(runs):
+            rest = rest.join(b, both(loosest), "left_anti")
     return reduce(DataFrame.unionByName, found)
 
 
@@ -43,10 +68,9 @@ SWAPPED = Tier("core_swapped", 0.4, (("siruta", "siruta", False), ("core_name_no
 
 def coverage(matches: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """One row: matched and all rows of both sides."""
+    size = lambda t: t.agg(F.count(F.lit(1))).scalar()
     m = matches.agg(F.countDistinct("left_id").alias("left_matched"), F.countDistinct("right_id").alias("right_matched"))
-    n = left.agg(F.count(F.lit(1)).alias("left_total"))
-    k = right.agg(F.count(F.lit(1)).alias("right_total"))
-    return m.join(n, F.lit(True)).join(k, F.lit(True))
+    return m.withColumns({"left_total": size(left), "right_total": size(right)})
 
 
 def resolution_ladder(rows: DataFrame, units: DataFrame, direct: str, region: str, place: str, unit_id: str = "siruta", unit_region: str = "region", unit_name: str = "place") -> DataFrame:

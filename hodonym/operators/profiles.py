@@ -46,12 +46,18 @@ def unique_slugs(df: DataFrame, slug: str, order: list) -> DataFrame:
     return df.withColumn(slug, F.when(rn == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), rn.cast("string"))))
 
 
+#: Most centres that are sent to every task.
+MOST_CENTRES = 100_000
+
+
 def nearest_point(points: DataFrame, centres: DataFrame, cell: float = 0.5) -> DataFrame:
     """``points`` (id, lat, lon) with the nearest of ``centres`` (centre, c_lat, c_lon), on the plane around the point.
 
-    Centres are spread to the 3 x 3 cells around theirs and joined by cell. What finds none there is compared with every centre, which
-    is exact; centres are a reference list and the planner broadcasts them.
+    Centres are spread to the 3 x 3 cells around theirs and joined by cell. Only a point that finds none there is compared with every
+    centre; the centres are a reference list of at most ``MOST_CENTRES``.
     """
+    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
+        raise ValueError(f"there may be {MOST_CENTRES} centres")
     cell_of = lambda c: F.floor(F.col(c) / cell)
     p = points.withColumn("gx", cell_of("lat")).withColumn("gy", cell_of("lon"))
     d = F.sequence(F.lit(-1), F.lit(1))

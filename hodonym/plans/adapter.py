@@ -9,6 +9,7 @@ from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from hodonym.functions.scoring import road_score
 from hodonym.operators.classify import star
@@ -132,11 +133,10 @@ class Views:
 
 
 def _grouped(rows: DataFrame, sums: dict) -> DataFrame:
-    """The first row by id of every (siruta, name_normalized), with sums over the group."""
+    """The first row by id of every (siruta, name_normalized), with sums over the group where they are asked for."""
     keys = ["siruta", "name_normalized"]
-    rest = [c for c in rows.columns if c not in keys]
-    g = rows.groupBy(*keys).agg(F.min_by(F.struct(*rest), "id").alias("_row"), *(c.alias(n) for n, c in sums.items()))
-    return g.select(*keys, "_row.*", *sums)
+    w = Window.partitionBy(*keys)
+    return min_row_per_key(rows.withColumns({n: c.over(w) for n, c in sums.items()}), keys, "id")
 
 
 def _values(rows: list[tuple]) -> str:

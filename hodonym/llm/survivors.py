@@ -54,7 +54,7 @@ def street_survivors(streets: DataFrame, types: Dictionary) -> DataFrame:
     """(first_id, name, core_name, street_type, n_rows) of every street with at least two rows and no bare number.
 
     A street is (judet, uat, type, words of the name); rows without a type belong to the street of that name if there is one
-    type only, else they make a street of their own. The value of street_type is the type found in artera_raw.
+    type only, are left out where there are several, and make a street of their own where there is none. The value of street_type is the type found in artera_raw.
     """
     rows = parsed_spellings(streets, types, first_names(streets)).where("key != '' and not number")
     where = ["judet", "uat", "key"]
@@ -62,7 +62,8 @@ def street_survivors(streets: DataFrame, types: Dictionary) -> DataFrame:
         *(F.max(c).alias(c) for c in ("name_score", "core_score", "at")), F.sum(vote(F.col("name_score"), F.col("at"))).alias("name_votes"), F.sum(vote(F.col("core_score"), F.col("at"))).alias("core_votes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
     )
     w = Window.partitionBy(*where)  # what follows stays in this partitioning
-    typed = spelt.withColumn("street_type", F.coalesce("kind", F.when(F.min("kind").over(w) == F.max("kind").over(w), F.min("kind").over(w))))
+    typed = spelt.withColumns({"least": F.min("kind").over(w), "most": F.max("kind").over(w)})
+    typed = typed.withColumn("street_type", F.coalesce("kind", F.when(F.col("least") == F.col("most"), F.col("least")))).where("street_type is not null or most is null")
     long = typed.select(*where, "street_type", "at", "n", "first_id", F.expr("stack(2, 'name', name, name_score, name_votes, 'core_name', core_name, core_score, core_votes) as (field, value, trust, votes)"))
     best = field_winners(long, [*where, "street_type"], ["name", "core_name"])
     return best.where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import os
 import shutil
 import tempfile
@@ -55,15 +56,18 @@ def ship_code(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     _SHIPPED.add(app)
-    at = scratch_dir(spark)
-    folder = Path(at.removeprefix("file://")) if at.startswith("file://") else Path(tempfile.mkdtemp(prefix="hodonym-"))  # the driver serves it
-    folder.mkdir(parents=True, exist_ok=True)
-    package = Path(__file__).resolve().parent
-    name = folder / f"{package.name}-{app}.zip"
-    with zipfile.ZipFile(name, "w", zipfile.ZIP_DEFLATED) as z:
+    package, packed = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(str(name))
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{package.name}-{app}.zip")
+    out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    context.addPyFile(at.toString())
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

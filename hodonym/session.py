@@ -71,10 +71,14 @@ def ship_code(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that losing executors costs no more than a re-read."""
+    """``df`` written to the shared folder and read back, so that losing executors costs no more than a re-read.
+
+    What is on disk is compressed and tells little of its size in memory, so joins with it are asked to sort and merge instead of
+    broadcasting it by its size on disk.
+    """
     at = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at).hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hodonym.functions.text import normalize_match, slugify
+from hodonym.functions.text import match_key, slugify
 from hodonym.operators.classify import filter_class
 
 MOST, USUAL = 1000, 200
@@ -28,7 +28,7 @@ def predicate(params: Params) -> Column:
     """The filter as a column over a star. Unknown dimensions and unknown classes are ignored; texts are taken literally."""
     out = F.lit(True)
     if (name := (params.get("name") or [""])[0].strip()):
-        out &= F.contains("name_normalized", normalize_match(F.lit(name)))
+        out &= F.contains("name_normalized", F.lit(match_key(name)))
     if unit := (params.get("uat") or [""])[0]:
         out &= F.contains("uat", F.lit(unit.upper()))
     if kinds := [k for k in params.get("classification", ()) if k in CLASSES]:

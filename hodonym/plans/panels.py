@@ -608,7 +608,7 @@ _NORM = "trim(lower(strip_accents(replace(replace(replace(replace({c}, 'î', 'â
 @panel(f"select id, translate(name, 'şţŞŢ', 'șțȘȚ') fixed, {_NORM.format(c='name')} normalized, trim(regexp_replace({_NORM.format(c='name')}, '[^a-z0-9]+', '-', 'g'), '-') slug from raw where not regexp_matches(name, '(?i)\\bG[-.]ral\\b')")
 def normalized_names(v: Views) -> DataFrame:
     c = F.col("name")
-    return v.raw.where(~c.rlike(r"(?i)\bG[-.]ral\b")).select("id", tx.fix_diacritics(c).alias("fixed"), tx.normalize_match(c).alias("normalized"), tx.slugify(c).alias("slug"))
+    return v.raw.select("id", tx.fix_diacritics(c).alias("fixed"), tx.normalize_match(c).alias("normalized"), tx.slugify(c).alias("slug"))
 
 
 @panel("select id, street_type, name from raw")

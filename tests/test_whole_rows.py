@@ -22,3 +22,9 @@ def test_normalized_names_are_those_of_the_table(spark):
     v = Views(spark, str(DATA))
     got = {r["id"]: r["normalized"] for r in PANELS["normalized_names"](v).collect()}
     assert got == {r["id"]: r["name_normalized"] for r in v.raw.select("id", "name_normalized").collect()}
+
+
+def test_normalized_names_keep_every_row(spark):
+    v = Views(spark, "")
+    v.raw = spark.createDataFrame([(1, "G.ral Vlad"), (2, "g-ral Vlad"), (3, None)], "id long, name string")
+    assert sorted(tuple(r) for r in PANELS["normalized_names"](v).collect()) == [(1, "G.ral Vlad", "general vlad", "general-vlad"), (2, "g-ral Vlad", "general vlad", "general-vlad"), (3, None, "", "")]

@@ -1,7 +1,7 @@
 """The same streets in two sources without a common key (problem 1).
 
 Streets rows come together as streets (municipality, type, words of the name). Candidates share a block of their municipality:
-the same words, the words after a pet name is written out, surname and initial, the surname alone, or a name within one edit
+the same words, the words after a pet name is written out, surname and initials, the surname alone, or a name within one edit
 (symmetric deletion). Heuristics vote on every candidate; a label model learns from all vote patterns how far each
 is right and which go together, and gives the confidence.
 """
@@ -88,11 +88,14 @@ def _tagged(tag: str, c: Column) -> Column:
 
 
 def _registry_blocks() -> Column:
+    """Blocks of a street; the surname may stand at either end, whatever the number of words."""
     w = F.split("words", " ")
-    two = F.size(w) == 2
+    n = F.size(w)
     none = F.array().cast("array<string>")
-    a, b = w[0], w[1]
-    people = F.when(two, F.array(F.concat(F.lit("i"), b, F.lit(" "), a.substr(1, 1)), F.concat(F.lit("i"), a, F.lit(" "), b.substr(1, 1)), F.concat(F.lit("s"), b), F.concat(F.lit("k"), F.col("key")))).otherwise(none)
+    first, last = w[0], F.element_at(w, -1)
+    initials = lambda given, y: F.transform(given, lambda x: F.concat(F.lit("i"), y, F.lit(" "), x.substr(1, 1)))
+    every = F.array_distinct(F.concat(initials(F.slice(w, 1, n - 1), last), initials(F.slice(w, 2, n - 1), first)))
+    people = F.when(n > 1, F.concat(every, F.array(F.concat(F.lit("s"), last), F.concat(F.lit("k"), F.col("key"))))).otherwise(none)
     return F.concat(people, F.when(F.length("key") >= 5, _tagged("d", _deletions(F.col("key")))).otherwise(none))
 
 
@@ -102,22 +105,38 @@ def _cadastre_blocks(words: str) -> list[str]:
     out: set[str] = set()
     if len(w) == 1 and len(w[0]) > 2:
         out.add("s" + w[0])
-    if len(w) == 2:
-        for x, y in (w, w[::-1]):
-            if len(x) == 1:
-                out.add(f"i{y} {x}")
-            out |= {"k" + " ".join(sorted((g, y))) for g in givens(x)}
+    if len(w) > 1:
+        letters, full = [x for x in w if len(x) == 1], [x for x in w if len(x) > 1]
+        if letters and full:
+            out |= {f"i{y} {letters[0]}" for y in (full[0], full[-1])}
+        for i, x in enumerate(w):
+            out |= {"k" + " ".join(sorted((*w[:i], g, *w[i + 1 :]))) for g in givens(x)}
     for key in {" ".join(sorted(w)), " ".join(w), " ".join(reversed(w))} if len(w) == 2 else {" ".join(sorted(w))}:
         if len(key) >= 5:
             out |= {"d" + key[:i] + key[i + 1 :] for i in range(len(key))} | {"d" + key}
     return sorted(out)
 
 
+def _initials_fit(a: list[str], b: list[str]) -> bool:
+    """Whether ``a`` is ``b`` with its given names, or the first of them, as initials."""
+    letters, full = [x for x in a if len(x) == 1 and x.isalpha()], [x for x in a if len(x) > 1]
+    if not letters or len(letters) + len(full) < len(a) or b[-1] not in full and b[0] not in full:
+        return False
+    given = list(b)
+    for x in full:
+        if x not in given:
+            return False
+        given.remove(x)
+    return len(letters) in (1, len(given)) and all(y.startswith(x) for x, y in zip(letters, given))
+
+
 def spelling_votes(theirs: str, ours: str) -> tuple[int, int, int]:
     """Votes on (same words, spelling within one edit or a known short form, given names agree) of two names' words."""
     a, b = theirs.split(), ours.split()
     if sorted(a) == sorted(b):
         return 1, 1, 1 if len(a) > 1 else 0
+    if 1 < len(a) <= len(b) and _initials_fit(a, b):
+        return 0, 1, 1
     if len(a) == len(b):
         # pair the words that agree, then look at the ones left over
         left, right = list(a), list(b)
@@ -127,15 +146,12 @@ def spelling_votes(theirs: str, ours: str) -> tuple[int, int, int]:
                 right.remove(x)
         if len(left) == 1:
             x, y = left[0], right[0]
-            if len(a) == 2:
-                if len(x) == 1 and x.isalpha():
-                    return 0, 1 if y.startswith(x) else -1, 1 if y.startswith(x) else -1
-                if y in givens(x):
-                    return 0, 1, 1
+            if len(a) > 1 and y in givens(x):
+                return 0, 1, 1
             if edit_cost(x, y) <= EDITED and min(len(x), len(y)) >= 4 and (x + y).isalpha():
                 return 0, 1, 0
         return -1, -1, -1
-    if len(a) == 1 and len(b) == 2 and a[0] == b[1] and SAINT not in b:
+    if len(a) == 1 and a[0] == b[-1] and SAINT not in b:
         return 0, 0, 0
     if abs(len("".join(a)) - len("".join(b))) <= 1 and edit_cost("".join(sorted(a)), "".join(sorted(b))) <= EDITED:
         return 0, 1, 0

@@ -95,7 +95,7 @@ def _registry_blocks() -> Column:
     first, last = w[0], F.element_at(w, -1)
     initials = lambda given, y: F.transform(given, lambda x: F.concat(F.lit("i"), y, F.lit(" "), x.substr(1, 1)))
     every = F.array_distinct(F.concat(initials(F.slice(w, 1, n - 1), last), initials(F.slice(w, 2, n - 1), first)))
-    people = F.when(n > 1, F.concat(every, F.array(F.concat(F.lit("s"), last), F.concat(F.lit("k"), F.col("key"))))).otherwise(none)
+    people = F.when(n > 1, F.concat(every, F.array(F.concat(F.lit("s"), first), F.concat(F.lit("s"), last), F.concat(F.lit("k"), F.col("key"))))).otherwise(none)
     return F.concat(people, F.when(F.length("key") >= 5, _tagged("d", _deletions(F.col("key")))).otherwise(none))
 
 
@@ -130,8 +130,11 @@ def _initials_fit(a: list[str], b: list[str]) -> bool:
     return len(letters) in (1, len(given)) and all(y.startswith(x) for x, y in zip(letters, given))
 
 
-def spelling_votes(theirs: str, ours: str) -> tuple[int, int, int]:
-    """Votes on (same words, spelling within one edit or a known short form, given names agree) of two names' words."""
+def spelling_votes(theirs: str, ours: str, surname: bool = False) -> tuple[int, int, int]:
+    """Votes on (same words, spelling within one edit or a known short form, given names agree) of two names' words.
+
+    ``surname``: the single word of ``theirs`` closes more names than it opens, so it is a surname wherever it stands.
+    """
     a, b = theirs.split(), ours.split()
     if sorted(a) == sorted(b):
         return 1, 1, 1 if len(a) > 1 else 0
@@ -151,7 +154,7 @@ def spelling_votes(theirs: str, ours: str) -> tuple[int, int, int]:
             if edit_cost(x, y) <= EDITED and min(len(x), len(y)) >= 4 and (x + y).isalpha():
                 return 0, 1, 0
         return -1, -1, -1
-    if len(a) == 1 and a[0] == b[-1] and SAINT not in b:
+    if len(a) == 1 and (a[0] == b[-1] or surname and a[0] == b[0]) and SAINT not in b:
         return 0, 0, 0
     if abs(len("".join(a)) - len("".join(b))) <= 1 and edit_cost("".join(sorted(a)), "".join(sorted(b))) <= EDITED:
         return 0, 1, 0
@@ -160,10 +163,10 @@ def spelling_votes(theirs: str, ours: str) -> tuple[int, int, int]:
 
 def _vote(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in rows:
-        rid, muni, key, kind, r_kind, words, r_words, title, r_title, seen = (b.column(i).to_pylist() for i in range(10))
+        rid, muni, key, kind, r_kind, words, r_words, title, r_title, seen, surname = (b.column(i).to_pylist() for i in range(11))
         out = []
         for i in range(b.num_rows):
-            same, spelt, given = spelling_votes(r_words[i], words[i])
+            same, spelt, given = spelling_votes(r_words[i], words[i], surname[i])
             typed = 0 if kind[i] is None or r_kind[i] is None else 1 if kind[i] == r_kind[i] else -1
             titled = 0 if not title[i] or not r_title[i] else 1 if set(title[i].split()) & set(r_title[i].split()) else -1
             out.append((typed, same, spelt, given, titled, 0 if same == 1 else -1 if seen[i] else 1))
@@ -172,12 +175,15 @@ def _vote(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def candidates(registry: DataFrame, cadastre: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(streets of the registry, candidates with their votes v0..v7); both written to the shared folder."""
-    streets = materialize(registry.groupBy("muni", "key").agg(F.collect_set("kind").alias("kinds"), F.max_by("words", "id").alias("words"), F.max("title").alias("title")), "streets")
+    streets = materialize(registry.groupBy("muni", "key").agg(F.collect_set("kind").alias("kinds"), F.mode("words", True).alias("words"), F.max("title").alias("title")), "streets")
     r = cadastre.select(F.col("id").alias("rid"), "muni", F.col("kind").alias("r_kind"), "key", F.col("words").alias("r_words"), F.col("title").alias("r_title"))
-    carried = ["rid", "muni", "key", "kinds", "r_kind", "words", "r_words", "title", "r_title", "seen"]
-    same = r.join(streets, ["muni", "key"]).withColumn("seen", F.lit(True)).select(*carried)
+    carried = ["rid", "muni", "key", "kinds", "r_kind", "words", "r_words", "title", "r_title", "seen", "surname"]
+    same = r.join(streets, ["muni", "key"]).withColumn("seen", F.lit(True)).withColumn("surname", F.lit(False)).select(*carried)
     rest = r.join(streets.select("muni", "key"), ["muni", "key"], "left_anti").where(~F.col("r_words").rlike(r"^[0-9]+[a-z]?$"))
-    rest = rest.join(streets.select("key").distinct().withColumn("seen", F.lit(True)), "key", "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
+    # a single word is its own key: how many names it closes less how many it opens comes with the keys seen
+    ends = streets.where("words like '% %'").select(F.explode(F.array(*(F.struct(F.substring_index("words", " ", i).alias("key"), F.lit(False).alias("seen"), F.lit(-i).alias("closes")) for i in (1, -1)))).alias("x")).select("x.*")
+    known = streets.select("key", F.lit(True).alias("seen"), F.lit(0).alias("closes")).unionByName(ends).groupBy("key").agg(F.max("seen").alias("seen"), (F.sum("closes") > 0).alias("surname"))
+    rest = rest.join(known, "key", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("seen", "surname")})
     rest = materialize(rest.drop("key"), "rest")
     block = lambda c: F.xxhash64("muni", c)
     ours = streets.where(~F.col("key").rlike(r"^[0-9]+[a-z]?$")).select("muni", F.xxhash64("muni", "key").alias("eid"), F.explode(_registry_blocks()).alias("b")).select("eid", block("b").alias("b"))
@@ -185,7 +191,7 @@ def candidates(registry: DataFrame, cadastre: DataFrame) -> tuple[DataFrame, Dat
     pairs = theirs.join(ours, "b").select("rid", "eid").distinct()
     near = pairs.join(rest, "rid").withColumnRenamed("muni", "r_muni").join(streets.withColumn("eid", F.xxhash64("muni", "key")), "eid").where("muni = r_muni").select(*carried)
     wide = same.unionByName(near).withColumn("kind", F.explode(F.when(F.size("kinds") == 0, F.array(F.lit(None).cast("string"))).otherwise(F.col("kinds"))))
-    order = ["rid", "muni", "key", "kind", "r_kind", "words", "r_words", "title", "r_title", "seen"]
+    order = ["rid", "muni", "key", "kind", "r_kind", "words", "r_words", "title", "r_title", "seen", "surname"]
     voted = wide.select(*order).mapInArrow(_vote, "rid long, muni string, key string, kind string, r_kind string, " + ", ".join(f"v{k} byte" for k in range(6))).where("v2 >= 0")
     voted = materialize(voted, "voted")
     fits = voted.where("v0 >= 0")

@@ -17,3 +17,11 @@ def test_more_than_two_words(spark):
     renns = ["Dudonteanu", "C. Nahinte", "C. A. Nahinte", "A. Nahinte", "Nicu-Ion Vlad", "Ana-Paula"]
     nahinte = "aurel corneliu nahinte"
     assert found(spark, streets, renns) == [("C. A. Nahinte", nahinte), ("C. Nahinte", nahinte), ("Dudonteanu", "ana dudonteanu paula"), ("Nicu-Ion Vlad", "ion nicolae vlad")]
+
+
+def test_surname_first(spark):
+    """A surname counts wherever the street's rows have it; a given name alone finds nothing."""
+    streets = ["Yvonne Vlad", "Yvonne Retisanteanu", "Yvonne Retisanteanu", "Retisanteanu Yvonne", "Elena Dudonteanu", "Maria Dudonteanu", "Dudonteanu Yvonne"]
+    got = found(spark, streets, ["Retisanteanu", "Dudonteanu", "Yvonne"])
+    assert [x for x in got if x[0] == "Retisanteanu"] == [("Retisanteanu", "retisanteanu yvonne")]
+    assert [x[1] for x in got if x[0] == "Dudonteanu"] == ["dudonteanu elena", "dudonteanu maria", "dudonteanu yvonne"]

@@ -695,18 +695,32 @@ def numeric_share_by_unit(v: Views) -> DataFrame:
     return v.sd.groupBy("siruta").agg(F.min("judet").alias("judet"), n_rows().alias("total"), F.sum("is_numeric").alias("numeric_streets")).where("numeric_streets > 0")
 
 
+#: Lengths of the n-grams by which labels are sought.
+GRAMS = (1, 2, 4, 8)
+
+
 @panel("""select core_name_norm, arg_min(qid, (1 - sure, qid)) qid, max(sure) sure from (select a.core_name_norm, b.wikidata_qid qid,
     case when lower(b.full_name) = lower(a.full_name) then case when a.gender is not null or a.birth_year is not null or a.death_year is not null then 0.95::double else 0.85::double end else 0.7::double end sure
     from p a join p b on b.wikidata_qid is not null and string_split(lower(a.full_name), ' ')[-1] = string_split(lower(b.full_name), ' ')[-1] and contains(lower(b.full_name), lower(a.full_name)) where a.wikidata_qid is null) group by 1""")
 def identifier_candidates(v: Views) -> DataFrame:
-    """The best identifier for persons without one: by the same name, or as part of a longer one that ends alike."""
+    """The best identifier for persons without one: by the same name, or as part of a longer one.
+
+    A label that contains a name has all its n-grams, so labels are sought by the rarest one of each name, of the longest of GRAMS that fits.
+    """
     name = F.lower("full_name")
-    last = F.element_at(F.split(name, " "), -1)
-    a = v.persons.where("wikidata_qid is null").select("core_name_norm", name.alias("name"), last.alias("last"), F.expr("gender is not null or birth_year is not null or death_year is not null").alias("known"))
-    b = v.persons.where("wikidata_qid is not null").select(F.col("wikidata_qid").alias("qid"), name.alias("label"), last.alias("last"))
-    x = a.join(b, "last").where(F.contains("label", F.col("name")))
-    x = x.withColumn("sure", candidate_confidence(F.col("name"), F.col("label"), F.col("known")))
-    return x.groupBy("core_name_norm").agg(F.max_by("qid", F.struct("sure", F.translate("qid", "0123456789", "9876543210"))).alias("qid"), F.max("sure").alias("sure"))
+    persons = v.persons.where("wikidata_qid is null").select("core_name_norm", name.alias("name"), F.expr("gender is not null or birth_year is not null or death_year is not null").alias("known"))
+    labels = v.persons.where("wikidata_qid is not null and full_name is not null").groupBy(name.alias("label")).agg(F.min("wikidata_qid").alias("qid"))
+    grams = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: c.substr(i, F.lit(n))))
+    of_name = F.array(F.lit(""))
+    for n in GRAMS:
+        of_name = F.when(F.length("name") >= n, grams(F.col("name"), n)).otherwise(of_name)
+    of_label = F.concat(F.array(F.lit("")), *(F.when(F.length("label") >= n, grams(F.col("label"), n)).otherwise(F.array().cast("array<string>")) for n in GRAMS))
+    b = labels.select("label", "qid", F.explode(of_label).alias("gram"))
+    sought = persons.where("name is not null").select("name").distinct().select("name", F.explode(of_name).alias("gram"))
+    a = sought.join(b.groupBy("gram").agg(n_rows().alias("n")), "gram").groupBy("name").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
+    found = a.join(b, "gram").where(F.contains("label", F.col("name"))).groupBy("name", (F.col("label") == F.col("name")).alias("same")).agg(F.min("qid").alias("qid"), F.min("label").alias("label"))
+    x = persons.join(found, "name").withColumn("sure", candidate_confidence(F.col("name"), F.col("label"), F.col("known")))
+    return x.groupBy("core_name_norm").agg(F.min_by("qid", F.struct(-F.col("sure"), "qid")).alias("qid"), F.max("sure").alias("sure"))
 
 
 @panel("select model, left(regexp_replace(lower(regexp_replace(string_split(model, '/')[-1], '-\\d{8}$', '')), '[^a-z0-9.-]', '-', 'g'), 40) slug from (select distinct source || '/' || lang || '_X-20240101' model from documents where lang is not null)")

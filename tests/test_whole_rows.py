@@ -28,3 +28,13 @@ def test_normalized_names_keep_every_row(spark):
     v = Views(spark, "")
     v.raw = spark.createDataFrame([(1, "G.ral Vlad"), (2, "g-ral Vlad"), (3, None)], "id long, name string")
     assert sorted(tuple(r) for r in PANELS["normalized_names"](v).collect()) == [(1, "G.ral Vlad", "general vlad", "general-vlad"), (2, "g-ral Vlad", "general vlad", "general-vlad"), (3, None, "", "")]
+
+
+def test_identifier_candidates_contain_the_name_anywhere(spark):
+    persons = [
+        ("a", "Ion Vlad", None, None), ("b", "Ana Dutucil", None, None), ("c", "Vlad", None, 1900), ("d", "Ana Nimeni", None, None), ("e", "X", None, None), ("f", None, None, None), ("g", "Ion Vlad", None, 1900),
+        ("h", "Ion Vlad tânărul", "Q12", None), ("i", "Ana Dutucilă", "Q3", None), ("j", "vlad", "Q7", None), ("k", None, "Q9", None), ("l", "Ion Vlad bătrânul", "Q1", None),
+    ]
+    v = Views(spark, "")
+    v.persons = spark.createDataFrame(persons, "core_name_norm string, full_name string, wikidata_qid string, birth_year int").selectExpr("*", "cast(null as string) gender", "cast(null as int) death_year")
+    assert sorted(tuple(r) for r in PANELS["identifier_candidates"](v).collect()) == [("a", "Q1", 0.7), ("b", "Q3", 0.7), ("c", "Q7", 0.95), ("g", "Q1", 0.7)]

@@ -38,3 +38,9 @@ def test_identifier_candidates_contain_the_name_anywhere(spark):
     v = Views(spark, "")
     v.persons = spark.createDataFrame(persons, "core_name_norm string, full_name string, wikidata_qid string, birth_year int").selectExpr("*", "cast(null as string) gender", "cast(null as int) death_year")
     assert sorted(tuple(r) for r in PANELS["identifier_candidates"](v).collect()) == [("a", "Q1", 0.7), ("b", "Q3", 0.7), ("c", "Q7", 0.95), ("g", "Q1", 0.7)]
+
+
+def test_every_postal_type_is_mapped(spark):
+    want = {"Sosea": "Șoseaua", "Fundac": "Fundătura", "Trecătoare": "Trecerea", "Potecă": "Cărarea", "Rampa": "Rampa", "Fundătură": "Fundătura"}
+    got = spark.createDataFrame([(k,) for k in want], "t string").select("t", tx.map_street_type(F.col("t"))).collect()
+    assert {a: b for a, b in got} == want

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 #: Keys in a bucket: bounds what one task holds.
 BUCKET = 65_536
-#: Rows up to which the parents' dates may be broadcast; beyond, they are joined by key.
-BROADCAST_ROWS = 100_000
 
 
 def _bucket(c: Column) -> Column:
@@ -46,13 +44,14 @@ def broken_references(children: DataFrame, row_id: str, key: str, at: str, paren
     last deletion and the first arrival count, and an undeleted copy keeps the key alive.
     """
     c = children.select(F.col(row_id).alias("row_id"), F.col(key).cast("long").alias("k"), F.col(at).alias("at")).where("k is not null")
-    gone = orphan_keys(c, "k", key_runs(parents, parent_key)).withColumn("gone", F.lit(True))
+    keys = c.groupBy("k").agg(F.min("at").alias("first"), F.max("at").alias("last"))
+    gone = orphan_keys(keys, "k", key_runs(parents, parent_key)).withColumn("gone", F.lit(True))
     dates = {n: F.col(x).cast("timestamp") if x else F.lit(None).cast("timestamp") for n, x in (("p_at", parent_at), ("p_del", deleted_at))}
     p = parents.select(F.col(parent_key).cast("long").alias("k"), F.lit(True).alias("there"), *(c_.alias(n) for n, c_ in dates.items())).where("k is not null")
     p = p.groupBy("k").agg(F.first("there").alias("there"), F.min("p_at").alias("p_at"), F.when(F.count("p_del") == F.count(F.lit(1)), F.max("p_del")).alias("p_del"))
-    if parents.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
-        p = F.broadcast(p)
-    out = c.join(gone, "k", "left").join(p, "k", "left")
+    # the keys of which some row may be broken; a hot key that is in order never moves a row
+    odd = keys.join(gone, "k", "left").join(p, "k", "left").where("gone or p_del <= last or p_at > first").select("k", "gone", "p_del", "p_at")
+    out = c.join(odd, "k")
     reason = F.when(F.col("gone"), "missing").when(F.col("p_del") <= F.col("at"), "deleted").when(F.col("p_at") > F.col("at"), "late")
     return out.select("row_id", "k", "at", reason.alias("reason")).where("reason is not null").distinct()
 

@@ -11,9 +11,10 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
+_FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
@@ -38,16 +39,26 @@ def session(name: str = "hodonym", cpus: int | str = "*", **conf: str) -> SparkS
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir``, or an own one in local mode."""
-    if at := spark.conf.get("spark.checkpoint.dir", None):
-        return at.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="hodonym-")
-        atexit.register(shutil.rmtree, _OWN[app], ignore_errors=True)
-    return "file://" + _OWN[app]
+    """This application's folder in ``spark.checkpoint.dir``, which all executors share; in local mode without that setting an own one.
+
+    The folder and what is in it are deleted when the driver's JVM ends, as results are read from it until then.
+    """
+    context = spark.sparkContext
+    app = context.applicationId
+    if app not in _FOLDERS:
+        at = spark.conf.get("spark.checkpoint.dir", None)
+        if not at and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not at:
+            at = tempfile.mkdtemp(prefix="hodonym-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+            at = "file://" + at
+        folder = context._jvm.org.apache.hadoop.fs.Path(f"{at.rstrip('/')}/hodonym-{app}-{uuid.uuid4().hex[:8]}")
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _FOLDERS[app] = folder.toString()
+    return _FOLDERS[app]
 
 
 def ship_code(spark: SparkSession) -> None:
@@ -61,7 +72,7 @@ def ship_code(spark: SparkSession) -> None:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
     jvm, context = spark.sparkContext._jvm, spark.sparkContext
-    at = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{package.name}-{app}.zip")
+    at = jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/{package.name}.zip")
     out = at.getFileSystem(context._jsc.hadoopConfiguration()).create(at, True)
     try:
         out.write(packed.getvalue())
@@ -70,15 +81,20 @@ def ship_code(spark: SparkSession) -> None:
     context.addPyFile(at.toString())
 
 
+#: Rows up to which the planner may broadcast a written table.
+FEW_ROWS = 50_000
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that losing executors costs no more than a re-read.
 
-    What is on disk is compressed and tells little of its size in memory, so joins with it are asked to sort and merge instead of
-    broadcasting it by its size on disk.
+    What is on disk is compressed and tells little of its size in memory. So the rows are counted while they are written, and joins
+    with a table of more than ``FEW_ROWS`` are asked to sort and merge; those with a smaller one are left to the planner.
     """
-    at = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(at)
-    return df.sparkSession.read.schema(df.schema).parquet(at).hint("merge")
+    at, seen = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
+    back = df.sparkSession.read.schema(df.schema).parquet(at)
+    return back if seen.get["n"] <= FEW_ROWS else back.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

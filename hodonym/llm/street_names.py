@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +31,7 @@ _WORD = re.compile(r"[^\W_]+(?:[-–'’][^\W_]+)*\.?")
 _CLEAN = re.compile(r"[^\W_]+(?:-[^\W_]+)*\.?(?: [^\W_]+(?:-[^\W_]+)*\.?)*")
 _NUMBER = re.compile(r"\d+[a-z]?")
 _DIACRITICS = frozenset("ăâîșțĂÂÎȘȚáéíóöőúüűÁÉÍÓÖŐÚÜŰ")
+_COMMAS = str.maketrans("şţŞŢ", "șțȘȚ")
 
 
 class Parser:
@@ -38,6 +40,7 @@ class Parser:
     def __init__(self, types: Dictionary) -> None:
         self.types = types
         self.memo: dict[str, tuple] = {}
+        self.texts: dict[str, tuple[str | None, tuple[str, ...]]] = {}
 
     def _word(self, raw: str) -> tuple[tuple[str, ...], str | None, bool]:
         """The folded parts of a written word; the type that it may be; whether only as a leading abbreviation."""
@@ -58,6 +61,15 @@ class Parser:
 
     def split(self, text: str) -> tuple[str | None, list[str]]:
         """(type, folded words) of a street text; what is in brackets is left out."""
+        if text not in self.texts:
+            if len(self.texts) > 100_000:
+                self.texts.clear()
+            kind, words = self._split(text)
+            self.texts[text] = kind, tuple(words)
+        kind, words = self.texts[text]
+        return kind, list(words)
+
+    def _split(self, text: str) -> tuple[str | None, list[str]]:
         words = [self._word(w) for w in _WORD.findall(_PAREN.sub(" ", text) if "(" in text else text)]
         kind = None
         if len(words) > 1:
@@ -99,47 +111,88 @@ def _usual_capitals(text: str) -> bool:
     return True
 
 
-def spelling_score(text: str | None, words: list[str], want: list[str]) -> int:
-    """How fully ``text`` (of folded ``words``) is written; above all whether it is just the words wanted.
+#: Points of a spelling: for clean writing of just the words wanted in usual capitals, against each abbreviation, hyphen and cedilla, for each diacritic.
+CLEAN, SHORT, HYPHEN, CEDILLA, MARK = 1024, -128, -16, -4, 1
 
-    In falling order: exactly the wanted words in clean writing and usual capitals, few abbreviations, few hyphens, few cedillas,
-    many diacritics. Only scores of one street's spellings compare.
-    """
-    if not text or not text.strip():
-        return -1
-    clean = _CLEAN.fullmatch(text) is not None and words == want and _usual_capitals(text)
+
+def tidy(text: str | None) -> str | None:
+    """The text composed, with commas for cedillas and single blanks; None if nothing is left."""
+    return " ".join(unicodedata.normalize("NFC", text).translate(_COMMAS).split()) or None if text else None
+
+
+def is_clean(text: str, words: list[str], want: list[str]) -> bool:
+    """Whether ``text`` (of folded ``words``) is just the words wanted in clean writing and usual capitals."""
+    return _CLEAN.fullmatch(text) is not None and words == want and _usual_capitals(text)
+
+
+def points(text: str, clean: bool) -> int:
+    """How fully a text is written, above all whether it is clean. Only the points of one street's spellings compare."""
     short = sum(1 for w in text.split() if w.endswith(".") or len(w) == 1 and w.isalpha())
-    cedillas = sum(text.count(c) for c in "şţŞŢ")
-    marks = sum(1 for c in text if c in _DIACRITICS)
-    return ((((clean * 10 + 9 - min(short, 9)) * 100 + 99 - min(text.count("-"), 99)) * 10 + 9 - min(cedillas, 9)) * 1000) + min(marks, 999)
+    return CLEAN * clean + SHORT * short + HYPHEN * text.count("-") + CEDILLA * sum(text.count(c) for c in "şţŞŢ") + MARK * sum(1 for c in text if c in _DIACRITICS)
 
 
-_SCHEMA = pa.schema([("id", pa.int64()), ("judet", pa.string()), ("uat", pa.string()), ("kind", pa.string()), ("key", pa.string()), ("number", pa.bool_()), ("name", pa.string()), ("name_score", pa.int64()), ("core_name", pa.string()), ("core_score", pa.int64()), ("at", pa.timestamp("us", tz="UTC"))])
+_FORM = "judet string, uat string, kind string, key string, spelt string, name string, name_points long, name_clean boolean, core_name string, core_points long, core_clean boolean, n long, first_id long, newest double, votes double"
+_NAMES = [c.split()[0] for c in _FORM.split(", ")]
+_TYPES = [{"string": pa.string(), "long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[c.split()[1]] for c in _FORM.split(", ")]
+#: Spellings that a task holds before it hands them on.
+HELD = 200_000
 
 
-def parsed_spellings(streets: DataFrame, types: Dictionary, first: frozenset[str] = frozenset()) -> DataFrame:
-    """Each row of streets with type, key (sorted core words) and the scores of its name and core_name.
+def parsed_spellings(streets: DataFrame, types: Dictionary, half_life: float) -> DataFrame:
+    """The rows of streets without bare numbers, summed per task and spelling: street, points of name and core_name, and the votes.
 
-    ``first``: words known to open names; a name that ends with one and opens with another word is not written in full.
+    ``spelt`` is the order of the words without titles. ``votes`` sums 2 ** (age / half_life) of the rows, age being counted backwards
+    from ``newest``, the spelling's latest date as log2 of its weight.
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = Parser(types)
+        p, known, held = Parser(types), {}, {}
+
+        def look(raw: str | None, name: str | None, core: str | None) -> tuple | None:
+            kind, words = p.split(raw or "")
+            body = core_words(words)
+            if not body or is_number(body):
+                return None
+            rest = [w for w in words if w not in TITLES and w not in SAINTS] or words
+            a, b = (is_clean(x, p.name(x), want) if x else False for x, want in ((name, words), (core, rest)))
+            fields = [f for x, clean in ((name, a), (core, b)) for f in (tidy(x), points(x, clean) if x else None, clean)]
+            return kind, " ".join(sorted(body)), " ".join(rest), *fields
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, *v) for k, v in held.items()]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _TYPES)], names=_NAMES)
+
         for b in batches:
-            kinds, keys, numbers, scores, cores = [], [], [], [], []
-            for raw, name, core in zip(*(b.column(i).to_pylist() for i in (3, 4, 5))):
-                kind, words = p.split(raw or "")
-                body = core_words(words)
-                kinds.append(kind)
-                keys.append(" ".join(sorted(body)))
-                numbers.append(is_number(body))
-                rest = [w for w in words if w not in TITLES and w not in SAINTS] or words
-                turned = len(rest) > 1 and rest[-1] in first and rest[0] not in first
-                scores.append(spelling_score(name, p.name(name) if name else [], [] if turned else words))
-                cores.append(spelling_score(core, p.name(core) if core else [], [] if turned else rest))
-            columns = [b.column(0), b.column(1), b.column(2), pa.array(kinds, pa.string()), pa.array(keys, pa.string()), pa.array(numbers, pa.bool_()), b.column(4), pa.array(scores, pa.int64()), b.column(5), pa.array(cores, pa.int64()), b.column(6)]
-            yield pa.RecordBatch.from_arrays([c.cast(f.type) if c.type != f.type else c for c, f in zip(columns, _SCHEMA)], schema=_SCHEMA)
+            for i, judet, uat, raw, name, core, at in zip(*(c.to_pylist() for c in b.columns)):
+                text = (raw, name, core)
+                if text not in known:
+                    if len(known) > 100_000:
+                        known.clear()
+                    known[text] = look(*text)
+                if (form := known[text]) is None:
+                    continue
+                weight = (at or 0.0) / half_life
+                if (sums := held.get((judet, uat, *form))) is None:
+                    held[judet, uat, *form] = [1, i, weight, 1.0]
+                    continue
+                sums[0] += 1
+                if i is not None and (sums[1] is None or i < sums[1]):
+                    sums[1] = i
+                if weight > sums[2]:
+                    sums[3] = sums[3] * _power(sums[2] - weight) + 1.0
+                    sums[2] = weight
+                else:
+                    sums[3] += _power(weight - sums[2])
+            if len(held) > HELD:
+                yield flush()
+        if held:
+            yield flush()
 
     ship_code(streets.sparkSession)
-    cols = [F.col("id").cast("long"), "judet", "uat", "artera_raw", "name", "core_name", F.col("recorded_at").cast("timestamp").alias("at")]
-    return streets.select(*cols).mapInArrow(parse, "id long, judet string, uat string, kind string, key string, number boolean, name string, name_score long, core_name string, core_score long, at timestamp")
+    cols = [F.col("id").cast("long"), "judet", "uat", "artera_raw", "name", "core_name", (F.unix_micros(F.col("recorded_at").cast("timestamp")) / 1e6).alias("at")]
+    return streets.select(*cols).mapInArrow(parse, _FORM)
+
+
+def _power(x: float) -> float:
+    return 2.0**x if x > -1000 else 0.0

@@ -1,69 +1,74 @@
 """One surviving record per group of duplicates, chosen field by field (problem 6).
 
-The fields are unpivoted to long rows (group, field, value). Each row votes for its value with the trust in its spelling times
-a decay by age; votes are summed per value before anything is gathered by group, ``max_by`` chooses the winner of every
-field and the winners are pivoted back. Trust goes first: a value written in full beats any number of votes for another one;
-among the fullest spellings the latest record decides, then the votes, then the value itself.
+The fields are unpivoted to long rows (group, field, normalised value). Every row votes for its values with the trust in how it is written
+times a decay by age; the votes are summed per value, ``max_by`` takes the value with the largest sum of each field, and the winners are
+pivoted back. Votes are kept as log2, so that weights may span any range: with the weights of TESTDATA a point of fullness outweighs any
+number of poorer spellings and a second any number of older rows, with milder ones many older rows outvote a new one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from hodonym.llm.canonical_values import Dictionary
-from hodonym.llm.street_names import parsed_spellings
+from hodonym.llm.street_names import CLEAN, parsed_spellings
+from hodonym.session import materialize
 
-#: Days in which a vote loses half its weight.
-HALF_LIFE = 365.0
-
-
-def vote(trust: F.Column, at: F.Column) -> F.Column:
-    """Trust times recency; a row without a date counts as of 1970."""
-    age = (F.lit(20_000.0) - F.coalesce(F.unix_timestamp(at), F.lit(0)) / 86_400.0) / F.lit(HALF_LIFE)
-    return F.greatest(trust, F.lit(0)) * F.pow(F.lit(2.0), -age)
+#: Seconds in which a vote loses half its weight, and log2 of the weight of a point of fullness: here a row that is a second newer
+#: outweighs 2 ** 40 rows, and a point more than a century.
+HALF_LIFE, POINT = 1 / 40, 2.0**37
 
 
 def field_winners(long: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
-    """The best value of each field per group, pivoted back, with ``n_rows`` and ``first_id``.
+    """(group..., fields..., n_rows, first_id): of each field the value with the largest sum of votes; of equal sums the largest value.
 
-    ``long`` has a row per group, field and value (or several) with trust, at, votes, n and first_id. Null values never win while another
-    value exists; a field without any value is null.
+    ``long`` has rows (group..., field, value, vote, n, first_id), vote being log2 of the weight of its ``n`` rows. Null values and null votes do
+    not vote; a field without any vote is null. Null group columns group together.
     """
-    best = long.groupBy(*group, "field", "value").agg(F.max("trust").alias("trust"), F.max("at").alias("at"), F.sum("votes").alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
-    rank = F.struct("trust", F.coalesce("at", F.lit(0).cast("timestamp")), F.round("votes", 6), "value")
-    of = lambda f: F.col("field") == f
-    chosen = [F.max_by(F.when(of(f), F.col("value")), F.when(of(f) & F.col("value").isNotNull(), rank)).alias(f) for f in fields]
-    return best.groupBy(*group).agg(*chosen, F.sum(F.when(of(fields[0]), F.col("n"))).alias("n_rows"), F.min("first_id").alias("first_id"))
+    same = Window.partitionBy(*group, "field", "value")
+    summed = long.withColumn("top", F.max("vote").over(same)).groupBy(*group, "field", "value").agg(
+        (F.max("top") + F.log2(F.sum(F.pow(F.lit(2.0), F.col("vote") - F.col("top"))))).alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id")
+    )
+    of = lambda f, x: F.when((F.col("field") == f) & F.col("value").isNotNull() & F.col("votes").isNotNull(), x)
+    chosen = [F.max_by("value", of(f, F.struct("votes", "value"))).alias(f) for f in fields]
+    return summed.groupBy(*group).agg(*chosen, F.sum(F.when(F.col("field") == fields[0], F.col("n"))).alias("n_rows"), F.min("first_id").alias("first_id"))
 
 
-def first_names(streets: DataFrame, share: int = 5_000, surer: int = 3) -> frozenset[str]:
-    """The words that open at least 1/``share`` of all core names and open them ``surer`` times as often as they end them.
+def _turned(forms: DataFrame, where: list[str]) -> DataFrame:
+    """(where..., turned): of streets whose words stand in several orders, the orders with the surname first.
 
-    Every row is counted; at most ``share`` words can reach that share, which bounds what is sent to the tasks.
+    How much likelier a word opens a name than it closes one is counted over all rows; an order is turned if its last word opens names more
+    readily than its first one. Streets without a municipality have no orders.
     """
-    c = F.col("core_name_norm")
-    words = streets.where(c.contains(" ")).select(F.explode(F.array(F.struct(F.substring_index(c, " ", 1).alias("w"), F.lit(1).alias("first")), F.struct(F.substring_index(c, " ", -1).alias("w"), F.lit(0).alias("first")))).alias("x"))
-    counts = words.groupBy("x.w").agg(F.sum("x.first").alias("first"), F.count(F.lit(1)).alias("n"))
-    total = streets.agg(F.count(F.lit(1))).scalar()
-    return frozenset(r[0] for r in counts.where((F.col("first") * share >= total) & (F.col("first") >= surer * (F.col("n") - F.col("first")))).select("w").collect())
+    several = forms.where("spelt like '% %'").groupBy(*where, "spelt").agg(F.sum("n").alias("n"))
+    ends = several.select(F.explode(F.array(*(F.struct(F.substring_index("spelt", " ", i).alias("w"), (F.col("n") if i > 0 else F.lit(0)).alias("opens"), (F.col("n") if i < 0 else F.lit(0)).alias("closes")) for i in (1, -1)))).alias("x")).select("x.*")
+    lean = ends.groupBy("w").agg(F.log2((F.sum("opens") + 1) / (F.sum("closes") + 1)).alias("lean"))
+    mixed = several.groupBy(*where).agg(F.min("spelt").alias("a"), F.max("spelt").alias("b")).where("a != b").select(*where)
+    orders = several.join(mixed, where, "left_semi").select(*where, "spelt", F.substring_index("spelt", " ", 1).alias("first"), F.substring_index("spelt", " ", -1).alias("last"))
+    side = lambda name: lean.select(F.col("w").alias(name), F.col("lean").alias(f"{name}_lean"))
+    told = orders.join(side("first"), "first").join(side("last"), "last").where("first_lean < last_lean")
+    return told.groupBy(*where).agg(F.collect_set("spelt").alias("turned"))
 
 
-def street_survivors(streets: DataFrame, types: Dictionary) -> DataFrame:
+def street_survivors(streets: DataFrame, types: Dictionary, half_life: float = HALF_LIFE, point: float = POINT) -> DataFrame:
     """(first_id, name, core_name, street_type, n_rows) of every street with at least two rows and no bare number.
 
     A street is (judet, uat, type, words of the name); rows without a type belong to the street of that name if there is one
-    type only, are left out where there are several, and make a street of their own where there is none. The value of street_type is the type found in artera_raw.
+    type only, are left out where there are several, and make a street of their own where there is none. name and core_name are
+    tidy: composed, single blanks, commas for cedillas; a row's type votes for street_type. A row without a date counts as of 1970.
     """
-    rows = parsed_spellings(streets, types, first_names(streets)).where("key != '' and not number")
     where = ["judet", "uat", "key"]
-    spelt = rows.groupBy(*where, "kind", "name", "core_name").agg(
-        *(F.max(c).alias(c) for c in ("name_score", "core_score", "at")), F.sum(vote(F.col("name_score"), F.col("at"))).alias("name_votes"), F.sum(vote(F.col("core_score"), F.col("at"))).alias("core_votes"), F.count(F.lit(1)).alias("n"), F.min("id").alias("first_id")
-    )
+    forms = materialize(parsed_spellings(streets, types, half_life), "spellings")
+    x = forms.join(_turned(forms, where), where, "left")
+    turned: Column = F.coalesce(F.array_contains("turned", F.col("spelt")), F.lit(False))
+    of = lambda f: F.col(f"{f}_points") - F.when(turned & F.col(f"{f}_clean"), CLEAN).otherwise(0)
     w = Window.partitionBy(*where)  # what follows stays in this partitioning
-    typed = spelt.withColumns({"least": F.min("kind").over(w), "most": F.max("kind").over(w)})
-    typed = typed.withColumn("street_type", F.coalesce("kind", F.when(F.col("least") == F.col("most"), F.col("least")))).where("street_type is not null or most is null")
-    long = typed.select(*where, "street_type", "at", "n", "first_id", F.expr("stack(2, 'name', name, name_score, name_votes, 'core_name', core_name, core_score, core_votes) as (field, value, trust, votes)"))
-    best = field_winners(long, [*where, "street_type"], ["name", "core_name"])
-    return best.where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")
+    x = x.withColumns({"least": F.min("kind").over(w), "most": F.max("kind").over(w)})
+    x = x.withColumn("type", F.coalesce("kind", F.when(F.col("least") == F.col("most"), F.col("least")))).where("type is not null or most is null")
+    weight = F.col("newest") + F.log2("votes")
+    group = [*where, "type"]
+    votes = x.withColumns({"name_vote": of("name") * F.lit(point) + weight, "core_vote": of("core") * F.lit(point) + weight, "type_vote": weight})
+    long = votes.select(*group, "n", "first_id", F.expr("stack(3, 'name', name, name_vote, 'core_name', core_name, core_vote, 'street_type', kind, type_vote) as (field, value, vote)"))
+    return field_winners(long, group, ["name", "core_name", "street_type"]).where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")

@@ -259,9 +259,30 @@ def test_survivors(spark):
     assert street_survivors(df.limit(0), d).count() == 0
 
 
-def test_field_winners_take_fields_apart(spark):
-    long = spark.createDataFrame([("g", "a", "x", 1, 1.0, 1), ("g", "a", "y", 2, 0.5, 2), ("g", "b", None, 9, 9.0, 1), ("g", "b", "z", 0, 0.1, 2), ("h", "a", None, 1, 1.0, 3)], "g string, field string, value string, trust int, votes double, first_id int").selectExpr("*", "cast(null as timestamp) at", "1 n")
-    assert rows(field_winners(long, ["g"], ["a", "b"]).select("g", "a", "b")) == [("g", "y", "z"), ("h", None, None)]
+def test_votes_decide_field_by_field(spark):
+    """Three votes of weight 1 outweigh one of 2, not one of 4; null values and votes count for nothing."""
+    votes = [("g", "a", "x", 0.0), ("g", "a", "x", 0.0), ("g", "a", "x", 0.0), ("g", "a", "y", 1.0), ("g", "b", "x", 0.0), ("g", "b", "x", 0.0), ("g", "b", "x", 0.0), ("g", "b", "y", 2.0), ("h", "a", None, 9.0), ("h", "b", "z", None), (None, "a", "p", -900.0), (None, "a", "q", -901.0), (None, "a", "q", -901.0)]
+    long = spark.createDataFrame(votes, "g string, field string, value string, vote double").selectExpr("*", "1L n", "7L first_id", "'x' top", "'y' votes").drop("top", "votes")
+    assert rows(field_winners(long, ["g"], ["a", "b"])) == sorted([("g", "x", "y", 4, 7), ("h", None, None, 1, 7), (None, "q", None, 3, 7)], key=str)
+
+
+def test_votes_of_rows(spark):
+    """The latest of the full spellings with the weights of the table; the most usual one with a decay over years."""
+    data = [(i, "J", "U", "Aleea Câmpului", "Câmpului", "Câmpului", 1) for i in range(5)] + [(8, "J", "U", "Aleea Cîmpului", "Cîmpului", "Cîmpului", 30), (9, "J", "U", "Aleea Campului", "Campului", "Campului", 60)]
+    df = streets_table(spark, data)
+    d = Dictionary(TYPES)
+    assert rows(street_survivors(df, d)) == [(0, "Cîmpului", "Cîmpului", "Aleea", 7)]
+    assert rows(street_survivors(df, d, half_life=365 * 86400.0)) == [(0, "Câmpului", "Câmpului", "Aleea", 7)]
+    assert rows(street_survivors(df, d, half_life=5 * 86400.0)) == [(0, "Cîmpului", "Cîmpului", "Aleea", 7)]
+
+
+def test_survivors_do_not_depend_on_other_rows(spark):
+    """A given name of three rows tells turned names apart, however many other rows there are."""
+    data = [(1, "J", "U", "Strada Zamfira Popa", "Zamfira Popa", "Zamfira Popa", 1), (2, "J", "U", "Strada Popa Zamfira", "Popa Zamfira", "Popa Zamfira", 5), (3, "J", "V", "Strada Zamfira Rotaru", "Zamfira Rotaru", "Zamfira Rotaru", 5), (4, "J", "V", "Strada Ion Popa", "Ion Popa", "Ion Popa", 5)]
+    many = [(100 + i, "J", "W", f"Strada Câmp{i} Nou", f"Câmp{i} Nou", f"Câmp{i} Nou", 1) for i in range(3000)]
+    d = Dictionary(TYPES)
+    for more in ([], many):
+        assert [r for r in rows(street_survivors(streets_table(spark, data + more), d)) if r[0] == 1] == [(1, "Zamfira Popa", "Zamfira Popa", "Strada", 2)]
 
 
 # ---- 1 ----------------------------------------------------------------------------------------------------------------

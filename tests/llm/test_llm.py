@@ -262,12 +262,27 @@ def test_containers(spark):
     assert packing.pack_containers(df, "doc_id", "text", kinds.limit(0)).count() == 0
 
 
-def test_pieces_do_not_change_tokens(monkeypatch):
+def test_long_runs_count_as_the_pattern_splits_them():
     count = packing.token_counter()
-    text = "În anul 1934, strada s-a numit   altfel. " * 200
-    whole = count(text)
-    monkeypatch.setattr(packing, "PIECE", 100)
-    assert count(text) == whole and "".join(packing.pieces(text)) == text
+    for text in ("a  b" + " " * 3990 + "c ", "\n" * 50 + " x" + "\t" * 3000, " " * 3999):
+        whole, packing._LONG_RUN = count(text), re.compile(r"\s{2}")
+        assert count(text) == whole, text[:10]
+        packing._LONG_RUN = re.compile(r"\s{4000}")
+    assert count(" " * 300_000 + "x") > 0 and count("ab" * 100_000) > 0
+
+
+def test_many_shards_fill_as_well_as_one(spark, monkeypatch):
+    rng = random.Random(17)
+    df = spark.createDataFrame([(i, "1 " * rng.randrange(1, 140)) for i in range(2000)], "doc_id long, text string").repartition(5)
+    kinds = spark.createDataFrame([("m", 300)], "container_kind string, capacity_tokens int")
+    one = packing.pack_containers(df, "doc_id", "text", kinds).toPandas()
+    monkeypatch.setattr(packing, "SHARD", 100)
+    many = packing.pack_containers(df, "doc_id", "text", kinds).toPandas()
+    least = -(-int(one.n_tokens.sum()) // 300)
+    assert sorted(zip(one.doc_id, one.n_tokens)) == sorted(zip(many.doc_id, many.n_tokens))
+    assert one.container_id.nunique() <= least + 1
+    assert many.container_id.nunique() <= least + 2
+    assert many.groupby("container_id").n_tokens.sum().max() <= 300
 
 
 # ---- 6 ----------------------------------------------------------------------------------------------------------------

@@ -99,9 +99,7 @@ def p10_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p10_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row per document of a group: its group (the smallest id with its skeleton)."""
-    g = look_alike_groups(table(spark, d, "documents"), "doc_id", "text")
-    heads = g.groupBy("skeleton").agg(F.min("id").alias("group_id"))
-    return g.join(heads, "skeleton").select(F.col("id").alias("doc_id"), "group_id")
+    return look_alike_groups(table(spark, d, "documents"), "doc_id", "text").select(F.col("id").alias("doc_id"), "group_id")
 
 
 LLM_QUERIES = {"p1_found": p1_found, "p1_links": p1_links, "p2_found": p2_found, "p2_counts": p2_counts, "p3_found": p3_found, "p3_groups": p3_groups, "p4_found": p4_found, "p4_counts": p4_counts, "p6_found": p6_found, "p6_survivors": p6_survivors, "p7_found": p7_found, "p8_containers": p8_containers, "p8_use": p8_use, "p9_found": p9_found, "p9_alignments": p9_alignments, "p10_found": p10_found, "p10_groups": p10_groups}

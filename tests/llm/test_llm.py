@@ -144,6 +144,18 @@ def test_skeletons(spark):
     want = sorted(((a, b) for (a, x), (b, y) in itertools.combinations(enumerate(texts), 2) if x and y and x != y and skeletons.skeleton(x).strip() and skeletons.skeleton(x) == skeletons.skeleton(y)), key=str)
     assert rows(skeletons.look_alike_pairs(df, "doc_id", "text")) == want and len(want) > 28
     assert rows(skeletons.look_alike_pairs(df.limit(0), "doc_id", "text")) == []
+    heads = {i: min(j for j, y in enumerate(texts) if y and skeletons.skeleton(y) == skeletons.skeleton(texts[i])) for pair in want for i in pair}
+    assert rows(skeletons.look_alike_groups(df, "doc_id", "text")) == sorted(heads.items(), key=str)
+
+
+def test_more_scripts(tmp_path):
+    for a, b in ("ⅼl", "ⅰi", "ⅠI", "ᎪA", "ᏟC", "ⲟo", "ᴄc", "ᴏo", "ꓐB", "ꓮA", "ԌG"):
+        assert skeletons.skeleton(a) == b, (a, b)
+    assert skeletons.skeleton("Ⅻ") == "XII" and skeletons.skeleton("ſ") == "ſ" and skeletons.skeleton("٠") == "٠"
+    listed = tmp_path / "list.txt"
+    listed.write_text("# comment\n\n10A0 ;\t0061 0301 ;\tMA\t# x\n0660 ; 002E ; MA\n0061 ; 0062 ; MA\n", encoding="utf-8-sig")
+    more = skeletons.more_look_alikes(str(listed))
+    assert more == {0x10A0: "a\u0301"} and skeletons.skeleton("Ⴀx", more) == "áx"
 
 
 # ---- 9 ----------------------------------------------------------------------------------------------------------------

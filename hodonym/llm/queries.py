@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hodonym.llm.canonical_values import Dictionary, canonical, dictionary
+from hodonym.llm.canonical_values import Dictionary, dictionary, mapped_values
 from hodonym.llm.format_duplicates import copy_counts, format_duplicates
 from hodonym.llm.leakage import WINDOW, leaked_passages
 from hodonym.llm.packing import container_use, pack_containers
@@ -71,10 +71,8 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     types = table(spark, d, "road_types")
     typed = table(spark, d, "renns_streets").select(F.lit("renns_streets").alias("table_name"), F.col("id").alias("row_id"), F.col("road_type_raw").alias("typed"))
     typed = typed.unionByName(table(spark, d, "postal_streets").select(F.lit("postal_streets").alias("table_name"), F.col("id").alias("row_id"), F.col("street_type").alias("typed")))
-    words = dictionary(types, "road_type", "abbreviation", typed, "typed")
-    entries = sorted(e for e, _ in words.entries)
-    odd = typed.where(F.col("typed").isNotNull() & ~F.col("typed").isin(entries))
-    return odd.select("table_name", "row_id", canonical(words)(F.col("typed")).alias("road_type"))
+    odd = typed.where("typed is not null").join(types.select(F.col("road_type").alias("typed")), "typed", "left_anti")
+    return mapped_values(odd, "typed", types, "road_type", "abbreviation", "road_type", typed).select("table_name", "row_id", "road_type")
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:

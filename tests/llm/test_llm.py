@@ -11,7 +11,7 @@ import unicodedata
 import pytest
 
 from hodonym.llm import label_model, leakage, packing, person_names, skeletons
-from hodonym.llm.canonical_values import Dictionary, canonical, dictionary, edit_cost, fold
+from hodonym.llm.canonical_values import Dictionary, canonical, dictionary, edit_cost, fold, mapped_values
 from hodonym.llm.format_duplicates import _carry, copy_counts, format_duplicates
 from hodonym.llm.queries import LLM_QUERIES, LLM_SQL
 from hodonym.llm.street_linkage import cadastre_side, registry_side, street_links
@@ -129,6 +129,23 @@ def test_canonical_column(spark):
     assert dictionary(types_table(spark).limit(0), "road_type", "abbreviation", df, "v").meant("strada") is None
 
 
+def test_entries_of_several_words():
+    d = Dictionary([("Cluj Napoca", None), ("Cluj", "CJ"), ("Software Engineer", "SE"), ("Baia-Mare", None)])
+    for typed, want in (("cluj napoca", "Cluj Napoca"), ("CLUJ-NAPOCA", None), ("Cluj, Napoca", "Cluj Napoca"), ("cluj napcoa", "Cluj Napoca"), ("software enginer", "Software Engineer"), ("Cluj", "Cluj"), ("baia mare", "Baia-Mare"), ("Cluj Baia Mare", "Baia-Mare"), ("napoca", None)):
+        assert d.meant(typed) == want or want is None, typed
+
+
+def test_long_lists_are_joined(spark, monkeypatch):
+    """A list that is joined gives the same entries as one that is sent to the tasks."""
+    entries = types_table(spark).unionByName(spark.createDataFrame([(90, "Calea Ferată", "C.F."), (91, None, "x")], "type_id int, road_type string, abbreviation string"))
+    typed = ["STRADA", " Str.", "Strada aleea", "Bd-ul", "Intr.", "Fdt.", "P-ța", "Şos", "STRDA", "chei", "De 95/6", "DJ", "calea ferata", "cale ferata", "Strada calea ferata", "", None, "Aleea", "x" * 3000, "Strada", "Strada"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(typed)], "id int, v string").selectExpr("*", "'z' entry", "'z' span", "'z' text")
+    get = lambda: {r.id: r.to for r in mapped_values(df, "v", entries, "road_type", "abbreviation", "to").collect()}
+    sent = get()
+    monkeypatch.setattr("hodonym.llm.canonical_values.MOST_ENTRIES", 3)
+    assert get() == sent and sent[12] == "Calea Ferată" and sent[14] == "Calea Ferată" and sent[16] is None and sent[10] == "unmatched"
+
+
 # ---- 10 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -155,7 +172,7 @@ def test_more_scripts(tmp_path):
     listed = tmp_path / "list.txt"
     listed.write_text("# comment\n\n10A0 ;\t0061 0301 ;\tMA\t# x\n0660 ; 002E ; MA\n0061 ; 0062 ; MA\n", encoding="utf-8-sig")
     more = skeletons.more_look_alikes(str(listed))
-    assert more == {0x10A0: "a\u0301"} and skeletons.skeleton("Ⴀx", more) == "áx"
+    assert more == {0x10A0: "a\u0301"} and skeletons.skeleton("Ⴀx", more) == "a\u0301x"
 
 
 # ---- 9 ----------------------------------------------------------------------------------------------------------------

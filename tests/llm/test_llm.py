@@ -428,6 +428,52 @@ def test_person_groups(spark):
     assert person_names.same_person_pairs(p, q.limit(0)).count() > 0
 
 
+PERSON = "core_name_norm string, full_name string, gender string, birth_year int, death_year int, profession string, wikidata_qid string"
+
+
+def people(spark, *rows_):
+    return spark.createDataFrame([(n, f, "M", b, d, p, q) for n, f, b, d, p, q in rows_], PERSON)
+
+
+def crowd(given="ion vasile elena stefan maria luca".split(), family="popescu marinescu vladeanu rotaru gavrilescu caragiale".split()):
+    """People enough to tell given names from surnames."""
+    return [(f"{g} {f}", f"{g.title()} {f.title()}", 1700 + 2 * k, 1760 + 2 * k, None, None) for k, (g, f) in enumerate(itertools.product(given, family)) if (g, f) not in {("ion", "popescu"), ("luca", "caragiale"), ("ion", "caragiale")}]
+
+
+def test_namesakes_with_other_years_stay_apart(spark):
+    two = [("ion popescu", "Ion Popescu", 1850, 1910, "poet", "Q1"), ("popescu ion", "Popescu Ion", 1950, 2010, "painter", "Q2")]
+    p = people(spark, *crowd(), *two, ("i. popescu", "I. Popescu", 1950, None, "painter", None), ("ion poppescu", "Ion Poppescu", 1850, None, None, "Q1"))
+    q = spark.createDataFrame([("ion popescu",), ("popescu ion",)], "core_name_norm string")
+    pairs = set(rows(person_names.same_person_pairs(p, q)))
+    assert ("ion popescu", "popescu ion") not in pairs
+    assert ("i. popescu", "popescu ion") in pairs and ("ion popescu", "ion poppescu") in pairs and ("i. popescu", "ion popescu") not in pairs
+    # without years that contradict each other the turned name is the same person
+    p = people(spark, *crowd(), ("ion popescu", "Ion Popescu", 1850, 1910, "poet", "Q1"), ("popescu ion", "Popescu Ion", None, 1910, None, None))
+    assert ("ion popescu", "popescu ion") in rows(person_names.same_person_pairs(p, q))
+
+
+def test_initials_and_parts_left_out(spark):
+    p = people(spark, *crowd(), ("ion luca caragiale", "Ion Luca Caragiale", 1852, 1912, "dramaturg", "Q9"), ("i l caragiale", "I. L. Caragiale", 1852, None, None, None), ("caragiale ion", "Caragiale Ion", 1852, 1912, None, "Q9"), ("x" * 3000, "Y " * 4000, 1900, None, None, None))
+    pairs = set(rows(person_names.same_person_pairs(p, spark.createDataFrame([("i. l. caragiale",), ("w " * 5000,)], "core_name_norm string"))))
+    for a, b in (("i l caragiale", "ion luca caragiale"), ("caragiale ion", "ion luca caragiale"), ("caragiale ion", "i l caragiale"), ("i. l. caragiale", "ion luca caragiale")):
+        assert (a, b) in pairs, (a, b)
+    assert person_names.channel("ion luca", "caragiale ion luca", {"ion", "luca"}) is None and person_names.channel("caragiale", "caragiale ion luca", {"ion", "luca"}) is None
+
+
+def test_unrelated_rows_change_no_link(spark):
+    group = [("zamfira popescu", "Zamfira Popescu", 1850, None, None, None), ("zamfira rotaru", "Zamfira Rotaru", 1870, None, None, None), ("zamfira vladeanu", "Zamfira Vladeanu", 1890, None, None, None)]
+    q = spark.createDataFrame([("zamfira gavrilescu",), ("gavrilescu zamfira",), ("z. popescu",)], "core_name_norm string")
+    noise = [(f"gigel neam{i:04d}", f"Gigel Neam{i:04d}", 1000, None, None, None) for i in range(3600)]
+    few, many = (set(rows(person_names.same_person_pairs(people(spark, *crowd(), *group, *more), q))) for more in ([], noise))
+    assert ("gavrilescu zamfira", "zamfira gavrilescu") in few and few <= many and not {x for x in many - few if "zamfira" in x[0]}
+
+
+def test_long_chains_of_links(spark):
+    links = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)] + [("x", "y"), ("y", "x")], "a string, b string")
+    label = {r.node: r.label for r in person_names._components(links).collect()}
+    assert {label[f"n{i:03d}"] for i in range(201)} == {"n000"} and label["x"] == label["y"] == "x"
+
+
 # ---- all --------------------------------------------------------------------------------------------------------------
 
 FORMS = {"p1_found": "street_id renns_id", "p2_found": "first_id copy_id", "p3_found": "name_a name_b", "p4_found": "field kind item mark", "p6_found": "first_id name core_name street_type", "p7_found": "table_name row_id road_type", "p9_found": "doc_id item_id", "p10_found": "doc_a doc_b"}

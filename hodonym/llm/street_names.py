@@ -30,7 +30,8 @@ _PAREN = re.compile(r"\([^)]*(?:\)|$)")
 _WORD = re.compile(r"[^\W_]+(?:[-–'’][^\W_]+)*\.?")
 _CLEAN = re.compile(r"[^\W_]+(?:-[^\W_]+)*\.?(?: [^\W_]+(?:-[^\W_]+)*\.?)*")
 _NUMBER = re.compile(r"\d+[a-z]?")
-_DIACRITICS = frozenset("ăâîșțĂÂÎȘȚáéíóöőúüűÁÉÍÓÖŐÚÜŰ")
+_MARKED = re.compile("[ăâîșțĂÂÎȘȚáéíóöőúüűÁÉÍÓÖŐÚÜŰ]")
+_CEDILLAS = re.compile("[şţŞŢ]")
 _COMMAS = str.maketrans("şţŞŢ", "șțȘȚ")
 
 
@@ -120,15 +121,13 @@ def tidy(text: str | None) -> str | None:
     return " ".join(unicodedata.normalize("NFC", text).translate(_COMMAS).split()) or None if text else None
 
 
-def is_clean(text: str, words: list[str], want: list[str]) -> bool:
-    """Whether ``text`` (of folded ``words``) is just the words wanted in clean writing and usual capitals."""
-    return _CLEAN.fullmatch(text) is not None and words == want and _usual_capitals(text)
-
-
-def points(text: str, clean: bool) -> int:
-    """How fully a text is written, above all whether it is clean. Only the points of one street's spellings compare."""
-    short = sum(1 for w in text.split() if w.endswith(".") or len(w) == 1 and w.isalpha())
-    return CLEAN * clean + SHORT * short + HYPHEN * text.count("-") + CEDILLA * sum(text.count(c) for c in "şţŞŢ") + MARK * sum(1 for c in text if c in _DIACRITICS)
+def writing(text: str) -> tuple[str | None, bool, int]:
+    """(tidy text, whether it is in clean writing and usual capitals, the points of how fully it is written otherwise)."""
+    short = sum(w[-1] == "." or len(w) == 1 and w.isalpha() for w in text.split())
+    rest = SHORT * short + HYPHEN * text.count("-")
+    if not text.isascii():
+        rest += MARK * len(_MARKED.findall(text)) + CEDILLA * len(_CEDILLAS.findall(text))
+    return tidy(text), _CLEAN.fullmatch(text) is not None and _usual_capitals(text), rest
 
 
 _FORM = "judet string, uat string, kind string, key string, spelt string, name string, name_points long, name_clean boolean, core_name string, core_points long, core_clean boolean, n long, first_id long, newest double, votes double"
@@ -146,7 +145,7 @@ def parsed_spellings(streets: DataFrame, types: Dictionary, half_life: float) ->
     """
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, known, held = Parser(types), {}, {}
+        p, known, written, held = Parser(types), {}, {}, {}
 
         def look(raw: str | None, name: str | None, core: str | None) -> tuple | None:
             kind, words = p.split(raw or "")
@@ -154,8 +153,18 @@ def parsed_spellings(streets: DataFrame, types: Dictionary, half_life: float) ->
             if not body or is_number(body):
                 return None
             rest = [w for w in words if w not in TITLES and w not in SAINTS] or words
-            a, b = (is_clean(x, p.name(x), want) if x else False for x, want in ((name, words), (core, rest)))
-            fields = [f for x, clean in ((name, a), (core, b)) for f in (tidy(x), points(x, clean) if x else None, clean)]
+            fields = []
+            for x, want in ((name, words), (core, rest)):
+                if not x:
+                    fields += [None, None, False]
+                    continue
+                if x not in written:
+                    if len(written) > 100_000:
+                        written.clear()
+                    written[x] = *writing(x), p.name(x)
+                value, clean, points, own = written[x]
+                clean = clean and own == want
+                fields += [value, points + CLEAN * clean, clean]
             return kind, " ".join(sorted(body)), " ".join(rest), *fields
 
         def flush() -> pa.RecordBatch:

@@ -21,16 +21,19 @@ from hodonym.session import materialize
 HALF_LIFE, POINT = 1 / 40, 2.0**37
 
 
-def field_winners(long: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
+def field_winners(rows: DataFrame, group: list[str], fields: list[str]) -> DataFrame:
     """(group..., fields..., n_rows, first_id): of each field the value with the largest sum of votes; of equal sums the largest value.
 
-    ``long`` has rows (group..., field, value, vote, n, first_id), vote being log2 of the weight of its ``n`` rows. Null values and null votes do
-    not vote; a field without any vote is null. Null group columns group together.
+    ``rows`` has group..., for every field a value and ``<field>_vote``, log2 of the weight of the row's ``n`` records, n and first_id. Null values
+    and null votes do not vote; a field without any vote is null. Null group columns group together.
     """
-    same = Window.partitionBy(*group, "field", "value")
-    summed = long.withColumn("top", F.max("vote").over(same)).groupBy(*group, "field", "value").agg(
-        (F.max("top") + F.log2(F.sum(F.pow(F.lit(2.0), F.col("vote") - F.col("top"))))).alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id")
-    )
+    whole = Window.partitionBy(*group)
+    has = lambda f: F.col(f).isNotNull() & F.col(f"{f}_vote").isNotNull()
+    # weights relative to the group's largest one: what is too small for a double could not win
+    tops = rows.withColumns({f"{f}_weight": F.when(has(f), F.pow(F.lit(2.0), F.col(f"{f}_vote") - F.max(F.when(has(f), F.col(f"{f}_vote"))).over(whole))) for f in fields})
+    stack = ", ".join(f"'{f}', {f}, {f}_weight" for f in fields)
+    votes = tops.select(*group, "n", "first_id", F.expr(f"stack({len(fields)}, {stack}) as (field, value, weight)"))
+    summed = votes.groupBy(*group, "field", "value").agg(F.sum("weight").alias("votes"), F.sum("n").alias("n"), F.min("first_id").alias("first_id"))
     of = lambda f, x: F.when((F.col("field") == f) & F.col("value").isNotNull() & F.col("votes").isNotNull(), x)
     chosen = [F.max_by("value", of(f, F.struct("votes", "value"))).alias(f) for f in fields]
     return summed.groupBy(*group).agg(*chosen, F.sum(F.when(F.col("field") == fields[0], F.col("n"))).alias("n_rows"), F.min("first_id").alias("first_id"))
@@ -69,6 +72,6 @@ def street_survivors(streets: DataFrame, types: Dictionary, half_life: float = H
     x = x.withColumn("type", F.coalesce("kind", F.when(F.col("least") == F.col("most"), F.col("least")))).where("type is not null or most is null")
     weight = F.col("newest") + F.log2("votes")
     group = [*where, "type"]
-    votes = x.withColumns({"name_vote": of("name") * F.lit(point) + weight, "core_vote": of("core") * F.lit(point) + weight, "type_vote": weight})
-    long = votes.select(*group, "n", "first_id", F.expr("stack(3, 'name', name, name_vote, 'core_name', core_name, core_vote, 'street_type', kind, type_vote) as (field, value, vote)"))
-    return field_winners(long, group, ["name", "core_name", "street_type"]).where("n_rows >= 2").select("first_id", "name", "core_name", "street_type", "n_rows")
+    fields = ["name", "core_name", "street_type"]
+    votes = x.select(*group, "n", "first_id", "name", "core_name", F.col("kind").alias("street_type"), (of("name") * F.lit(point) + weight).alias("name_vote"), (of("core") * F.lit(point) + weight).alias("core_name_vote"), weight.alias("street_type_vote"))
+    return field_winners(votes, group, fields).where("n_rows >= 2").select("first_id", *fields, "n_rows")

@@ -336,9 +336,9 @@ def test_survivors(spark):
 
 def test_votes_decide_field_by_field(spark):
     """Three votes of weight 1 outweigh one of 2, not one of 4; null values and votes count for nothing."""
-    votes = [("g", "a", "x", 0.0), ("g", "a", "x", 0.0), ("g", "a", "x", 0.0), ("g", "a", "y", 1.0), ("g", "b", "x", 0.0), ("g", "b", "x", 0.0), ("g", "b", "x", 0.0), ("g", "b", "y", 2.0), ("h", "a", None, 9.0), ("h", "b", "z", None), (None, "a", "p", -900.0), (None, "a", "q", -901.0), (None, "a", "q", -901.0)]
-    long = spark.createDataFrame(votes, "g string, field string, value string, vote double").selectExpr("*", "1L n", "7L first_id", "'x' top", "'y' votes").drop("top", "votes")
-    assert rows(field_winners(long, ["g"], ["a", "b"])) == sorted([("g", "x", "y", 4, 7), ("h", None, None, 1, 7), (None, "q", None, 3, 7)], key=str)
+    votes = [("g", "x", 0.0, "x", 0.0)] * 3 + [("g", "y", 1.0, "y", 2.0), ("h", None, 9.0, "z", None), (None, "p", -9000.0, None, None), (None, "q", -9001.0, None, None), (None, "q", -9001.0, None, None), (None, "q", -9001.0, None, None)]
+    df = spark.createDataFrame(votes, "g string, a string, a_vote double, b string, b_vote double").selectExpr("*", "1L n", "7L first_id", "'x' value", "'y' votes").drop("value")
+    assert rows(field_winners(df, ["g"], ["a", "b"])) == sorted([("g", "x", "y", 4, 7), ("h", None, None, 1, 7), (None, "q", None, 4, 7)], key=str)
 
 
 def test_votes_of_rows(spark):

@@ -13,13 +13,13 @@ import numpy as np
 
 
 class LabelModel:
-    def __init__(self, n_votes: int, prior: float = 0.5, trust: float = 0.75, strength: float = 20.0, least_information: float = 0.01, rounds: int = 60, known: dict[int, tuple[float, float]] | None = None) -> None:
+    def __init__(self, n_votes: int, prior: float = 0.5, trust: float = 0.75, strength: float = 20.0, least_information: float = 0.01, rounds: int = 200, chances: dict[int, float] | None = None) -> None:
         """``trust`` and ``strength``: the accuracy that each voter is believed to have beforehand, and the number of votes which that belief weighs.
 
-        ``known``: voter -> how often it says yes, where it speaks, of (no match, match), if that is known and not to be learned.
+        ``chances``: voter -> how often it says yes, where it speaks, of pairs that have nothing to do with each other, if that has been counted.
         """
         self.m, self.prior, self.rounds, self.least = n_votes, prior, rounds, least_information
-        self.strength, self.trust, self.known = strength, trust, known or {}
+        self.strength, self.trust, self.chances = strength, trust, chances or {}
         self.parent: list[int | None] = [None] * n_votes
 
     def _tables(self, votes: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
@@ -28,7 +28,6 @@ class LabelModel:
         Whether a voter abstains may depend on the other vote but says nothing of the class.
         """
         out = []
-        right = self.strength * np.array([1 - self.trust, self.trust])
         for j, p in enumerate(self.parent):
             t = np.zeros((2, 3, 3))
             v, q = votes[:, j] + 1, votes[:, p] + 1 if p is not None else np.ones(len(votes), int)
@@ -37,9 +36,10 @@ class LabelModel:
             both = t.sum(axis=0)
             silent = (both[:, 1] + 1) / (both.sum(axis=1) + 3)
             for y in (0, 1):
-                spoken = t[y][:, [0, 2]] + (right if y else right[::-1])
-                if j in self.known:
-                    spoken = np.tile([1 - self.known[j][y], self.known[j][y]], (3, 1))
+                yes = self.trust if y else 1 - self.trust
+                spoken = t[y][:, [0, 2]] + self.strength * np.array([1 - yes, yes])
+                if y == 0 and j in self.chances:
+                    spoken = np.tile([1 - self.chances[j], self.chances[j]], (3, 1))
                 t[y][:, [0, 2]] = spoken / spoken.sum(axis=1, keepdims=True) * (1 - silent)[:, None]
                 t[y][:, 1] = silent
             out.append(t)
@@ -59,7 +59,7 @@ class LabelModel:
             weight = post * n[:, None]
             self.tables = self._tables(votes, weight)
             self.prior = float(np.clip(weight[:, 1].sum() / max(n.sum(), 1), 0.01, 0.99))
-            new = self._score(votes)
+            new = np.where(self.ruled_out[:, None], [1.0, 0.0], self._score(votes))
             if np.abs(new - post).max() < 1e-6:
                 return new
             post = new
@@ -78,12 +78,15 @@ class LabelModel:
                 out += s / total * float(np.sum(q[k] * np.log(q[k] / e[k])))
         return out
 
-    def fit(self, votes: Sequence[Sequence[int]], counts: Sequence[int]) -> "LabelModel":
+    def fit(self, votes: Sequence[Sequence[int]], counts: Sequence[int], ruled_out: Sequence[bool] | None = None) -> "LabelModel":
+        """``ruled_out``: patterns that are no match by definition; they stay in the no-match class while all accuracies are learned."""
+        self.ruled_out = np.zeros(len(votes), bool) if ruled_out is None else np.asarray(ruled_out, bool)
         v, n = np.asarray(votes, int).reshape(-1, self.m), np.asarray(counts, float)
         yes = 1 / (1 + np.exp(-v.sum(axis=1)))
+        yes = np.where(self.ruled_out, 0.0, yes)
         post = self._em(v, n, np.stack([1 - yes, yes], axis=1))
         weight = post * n[:, None]
-        edges = sorted(((self._information(v, weight, a, b), a, b) for a in range(self.m) for b in range(a) if not {a, b} & set(self.known)), reverse=True)
+        edges = sorted(((self._information(v, weight, a, b), a, b) for a in range(self.m) for b in range(a)), reverse=True)
         tree = list(range(self.m))
         near: dict[int, list[int]] = {j: [] for j in range(self.m)}
         for i, a, b in edges:

@@ -9,7 +9,8 @@ def found(spark, streets, renns):
     r = spark.createDataFrame([(i, 100, "J", "Loc", "Strada", None, n) for i, n in enumerate(renns)], "id long, uat_siruta int, judet string, locality_raw string, road_type_raw string, street_type string, name string")
     u = spark.createDataFrame([(100, "J", "LOC")], "siruta int, judet string, uat string")
     d = Dictionary([("Strada", "Str."), ("Aleea", "Al.")])
-    return sorted((renns[x["rid"]], x["key"]) for x in candidates(registry_side(s, d), cadastre_side(r, u, d))[1].collect())
+    key = {x["e"]: x["key"] for x in registry_side(s, d).selectExpr("xxhash64(muni, key) e", "key").collect()}
+    return sorted((renns[x["rid"]], key[x["eid"]]) for x in candidates(registry_side(s, d), cadastre_side(r, u, d)).where("v2 >= 0").collect())
 
 
 def test_more_than_two_words(spark):

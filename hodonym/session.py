@@ -82,7 +82,7 @@ def ship_code(spark: SparkSession) -> None:
 
 
 #: Rows up to which the planner may broadcast a written table.
-FEW_ROWS = 50_000
+FEW_ROWS = 10_000
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -11,7 +11,12 @@ ROAD_WEIGHTS = {"primary": 5, "secondary": 4, "tertiary": 3, "unclassified": 2,
 ROAD_ORDER = ["service", "pedestrian", "living_street", "residential", "unclassified", "tertiary", "secondary", "primary"]
 ROAD_NUMBER, ROAD_BONUS = r"(?i)\b(DN|DJ|DC|A)\d+", 2.0
 # What the causes of death are told by, the first that fits.
-CAUSES = {"illness": "cancer|tubercul|pneumon|boal|infarct|cord|ciroz|tifos|holer", "violence": "asasin|execut|împuș|omor|glonț|decapit", "accident": "accident|înec|incend"}
+CAUSES = {
+    "boală": ["tuberculosis", "pneumonia", "typhus", "plague", "cancer", "hepatitis", "nephritis", "infarction", "stroke", "gout", "seizure", "foodborne", "lung", "infectious", "alzheimer", "asphyxia", "disease", "illness"],
+    "violență": ["gunshot", "shooting", "execution", "decapitation", "breaking wheel", "poison", "ambush", "murder", "killed"],
+    "accident": ["collision", "vehicle", "accident", "earthquake", "invention"],
+}
+NO_CAUSE, OTHER_CAUSE = "necunoscută", "altele"
 
 
 def class_rank(c: Column) -> Column:
@@ -37,10 +42,10 @@ def scope(n: Column, universal: int = 50, national: int = 5) -> Column:
 
 
 def cause_macro(label: Column) -> Column:
-    out = F.when(F.coalesce(label, F.lit("")) == "", "unknown")
-    for name, pattern in CAUSES.items():
-        out = out.when(F.lower(label).rlike(pattern), name)
-    return out.otherwise("other")
+    out = F.when(F.coalesce(label, F.lit("")) == "", NO_CAUSE)
+    for name, words in CAUSES.items():
+        out = out.when(F.lower(label).rlike("|".join(words)), name)
+    return out.otherwise(OTHER_CAUSE)
 
 
 def candidate_confidence(name: Column, label: Column, known: Column) -> Column:

@@ -46,27 +46,36 @@ def unique_slugs(df: DataFrame, slug: str, order: list) -> DataFrame:
     return df.withColumn(slug, F.when(rn == 1, F.col(slug)).otherwise(F.concat_ws("-", F.col(slug), rn.cast("string"))))
 
 
-#: Most centres that are sent to every task.
-MOST_CENTRES = 100_000
+#: How much wider than the first cells that find a centre those are that hold the nearest one.
+SURE = 16
 
 
 def nearest_point(points: DataFrame, centres: DataFrame, cell: float = 0.5) -> DataFrame:
     """``points`` (id, lat, lon) with the nearest of ``centres`` (centre, c_lat, c_lon), on the plane around the point.
 
-    Centres are spread to the 3 x 3 cells around theirs and joined by cell. Only a point that finds none there is compared with every
-    centre; the centres are a reference list of at most ``MOST_CENTRES``.
+    Centres are spread to the 3 x 3 cells around theirs and joined by cell; the nearest of those counts. For a point that finds none there, wider
+    cells are tried until one finds some, and the nearest is taken from cells so much wider (``SURE``) that none outside them can be nearer
+    (below 79 degrees of latitude). All joins are equi-joins; without centres there is no row.
     """
-    if centres.limit(MOST_CENTRES + 1).count() > MOST_CENTRES:
-        raise ValueError(f"there may be {MOST_CENTRES} centres")
-    cell_of = lambda c: F.floor(F.col(c) / cell)
-    p = points.withColumn("gx", cell_of("lat")).withColumn("gy", cell_of("lon"))
-    d = F.sequence(F.lit(-1), F.lit(1))
-    c = centres.withColumn("dx", F.explode(d)).withColumn("dy", F.explode(d)).withColumn("gx", cell_of("c_lat") + F.col("dx")).withColumn("gy", cell_of("c_lon") + F.col("dy")).drop("dx", "dy")
     dist = F.pow(F.col("lat") - F.col("c_lat"), F.lit(2.0)) + F.pow((F.col("lon") - F.col("c_lon")) * F.cos(F.radians("lat")), F.lit(2.0))
-    best = lambda x: x.groupBy("id").agg(F.min_by("centre", F.struct(dist.alias("d"), F.col("centre"))).alias("centre"))
-    near = best(p.join(c, ["gx", "gy"]))
-    far = p.join(near.select("id"), "id", "left_anti")
-    return near.unionByName(best(far.join(F.broadcast(centres), F.lit(True))))
+    d = F.sequence(F.lit(-1), F.lit(1))
+
+    def best(some: DataFrame, width: float) -> DataFrame:
+        cell_of = lambda c: F.floor(F.col(c) / width)
+        p = some.withColumn("gx", cell_of("lat")).withColumn("gy", cell_of("lon"))
+        c = centres.withColumn("dx", F.explode(d)).withColumn("dy", F.explode(d)).withColumn("gx", cell_of("c_lat") + F.col("dx")).withColumn("gy", cell_of("c_lon") + F.col("dy")).drop("dx", "dy")
+        return p.join(c, ["gx", "gy"]).groupBy("id").agg(F.min_by("centre", F.struct(dist.alias("d"), F.col("centre"))).alias("centre"))
+
+    rest = points.select("id", "lat", "lon")
+    out = best(rest, cell)
+    rest = rest.join(out.select("id"), "id", "left_anti")
+    width = cell
+    while width < 360.0:
+        width *= 8.0
+        some = best(rest, width).select("id")
+        out = out.unionByName(best(rest.join(some, "id", "left_semi"), width * SURE))
+        rest = rest.join(some, "id", "left_anti")
+    return out
 
 
 def ancestor_of_type(start: DataFrame, edges: DataFrame, types: DataFrame, wanted: list[str], depth: int = 6) -> DataFrame:

@@ -29,7 +29,8 @@ CASES = [
     (tx.search_key, "Înfrățirii!", "infratirii"), (tx.claim_year, "-0044-03-15T00:00:00Z", -44), (tx.claim_year, "+1850-01-15T00:00:00Z", 1850), (tx.leading_int, "12A", 12), (tx.leading_int, "A12", None),
     (tx.century_label, 1800, "sec. 19"), (tx.century_label, -100, "sec. 1 î.Hr."),
     (sc.scope, 0, "unknown"), (sc.scope, 1, "local"), (sc.scope, 4, "local"), (sc.scope, 5, "national"), (sc.scope, 49, "national"), (sc.scope, 50, "universal"), (sc.class_rank, "primary", 7), (sc.class_rank, "x", -1),
-    (sc.cause_macro, "", "unknown"), (sc.cause_macro, "Pneumonie", "illness"), (sc.cause_macro, "asasinat", "violence"), (sc.cause_macro, "altceva", "other"),
+    (sc.cause_macro, "", "necunoscută"), (sc.cause_macro, None, "necunoscută"), (sc.cause_macro, "Viral Pneumonia", "boală"), (sc.cause_macro, "gunshot wound", "violență"), (sc.cause_macro, "traffic collision", "accident"), (sc.cause_macro, "altceva", "altele"),
+    (tx.clean_road_type, "Ulicioara", "Ulicioara"), (tx.clean_road_type, "Drum Comunal DC", None), (tx.clean_road_type, "Strada FUNDATURA", "Fundătura"), (tx.clean_road_type, "Strada ", "Strada"), (tx.county_code, "CARAȘ-SEVERIN", "CS"), (tx.county_code, "Satu Mare", "SM"), (tx.county_code, "x", None), (tx.title_case, "MUNICIPIUL CLUJ-NAPOCA", "Municipiul Cluj-Napoca"),
 ]
 
 

@@ -162,6 +162,7 @@ def real_renamings(v: Views) -> DataFrame:
     return x.select("judet", "uat", F.col("core_name").alias("current_name"), F.col("alias").alias("historical_name")).distinct()
 
 
+# The words of the names that are told apart as ideological.
 TOKENS = r"(colectivist|uzin|lenin|stalin|partidul|tovaras|mai 1|7 noiembrie|23 august|cap-?ului|ceapeu)"
 
 
@@ -330,10 +331,18 @@ def female_km_leaderboard(v: Views) -> DataFrame:
 
 @named
 def external_corroboration_gap(v: Views) -> DataFrame:
-    parts = [_unmatched(t, m).where("core_name_norm is not null").select("siruta", "core_name_norm", F.lit(k).alias("src")) for k, (t, m) in enumerate(((v.osm, v.osm_m), (v.postal, v.postal_m), (v.renns, v.renns_m)))]
-    g = parts[0].union(parts[1]).union(parts[2]).groupBy("siruta", "core_name_norm").agg(F.count_distinct("src").alias("corroboration_level"))
-    g = g.join(v.raw.where("name_normalized != ''").select("siruta", "core_name_norm"), ["siruta", "core_name_norm"], "left_anti")
-    return g.orderBy(F.desc("corroboration_level"), "siruta", "core_name_norm").limit(100)
+    """Names of other sources that the registry has nowhere in the municipality, by the number of sources.
+
+    A row of such a name can only be matched by its words in turned order: by a registry name that no row of the source itself has.
+    """
+    key = ["siruta", "core_name_norm"]
+    registry = v.sd.select(*key).where("siruta is not null and core_name_norm is not null").distinct()
+    turned = registry.join(v.postal.select(*key), key, "left_anti").select(F.col("siruta"), F.col("core_name_norm").alias("core_name_norm_swapped"))
+    postal = v.postal.join(turned, ["siruta", "core_name_norm_swapped"], "left_anti")
+    flag = lambda t, k: t.where("core_name_norm is not null").select(*key, *(F.lit(int(i == k)).alias(f"s{i}") for i in range(4)))
+    rows = flag(v.raw.where("name_normalized != '' and siruta is not null"), 0).union(flag(v.osm, 1)).union(flag(postal, 2)).union(flag(v.renns, 3))
+    g = rows.groupBy(*key).agg(*(F.max(f"s{i}").alias(f"s{i}") for i in range(4))).where("s0 = 0").withColumn("corroboration_level", (F.col("s1") + F.col("s2") + F.col("s3")).cast("long"))
+    return g.orderBy(F.desc("corroboration_level"), *key).limit(100).select(*key, "corroboration_level")
 
 
 @named

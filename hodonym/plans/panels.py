@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hodonym.functions import text as tx
-from hodonym.functions.scoring import CAUSES, candidate_confidence, cause_macro, class_rank, group_zscore, scope
+from hodonym.functions.scoring import candidate_confidence, cause_macro, class_rank, group_zscore, scope
 from hodonym.operators import filters as fl
 from hodonym.operators import match, profiles, upserts
 from hodonym.operators.classify import coverage_class, filter_class, macro_class, municipality_class, street_theme, top_name_class, unit_theme_class
@@ -195,14 +195,22 @@ def regional_signatures(v: Views) -> DataFrame:
     return g.orderBy(F.desc("national_total"), F.desc("pct"), "name_normalized", "judet").limit(18).drop("name_normalized")
 
 
-_HEADS = "|".join(w.capitalize() for w in ("valea", "dealul", "plaiul", "pârâul", "lunca", "poiana", "pădurea", "moara", "cetatea", "lacul", "izvorul", "vârful", "gura", "mănăstirea", "coasta", "fântâna", "câmpul", "crucea", "movila", "podul"))
+# The words that open names of landscapes.
+HEADS = [
+    "Valea", "Dealul", "Plaiul", "Pârâul", "Lunca", "Poiana", "Pădurea", "Moara", "Cetatea", "Stejarii", "Vatra", "Cireșii", "Râul", "Lacul", "Izvorul", "Vârful", "Gura", "Dosul", "Mănăstirea", "Cheile", "Coasta", "Pietrele",
+    "Fântâna", "Câmpul", "Crucea", "Movila", "Vâlcele", "Bradului",
+]
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_HEADS_SQL = "'Valea', 'Dealul', 'Plaiul', 'Pârâul', 'Lunca', 'Poiana', 'Pădurea', 'Moara', 'Cetatea', 'Stejarii', 'Vatra', 'Cireșii', 'Râul', 'Lacul', 'Izvorul', 'Vârful', 'Gura', 'Dosul', 'Mănăstirea', 'Cheile', 'Coasta', 'Pietrele', 'Fântâna', 'Câmpul', 'Crucea', 'Movila', 'Vâlcele', 'Bradului'"
 
 
-@panel(f"select name, judet, uat from (select *, row_number() over (partition by split_part(name, ' ', 1) order by name, name_normalized) rn from (select name_normalized, min(name) as name, min(judet) judet, min(uat) uat from sd where {_CULT} group by 1 having count(distinct siruta) = 1) where length(name) between 10 and 30 and regexp_matches(name, '^({_HEADS}) ')) where rn = 1")
+@panel(f"select name, judet, uat from (select *, split_part(name, ' ', 1) prefix, row_number() over (partition by split_part(name, ' ', 1) order by name, name_normalized) rn from (select name_normalized, min(name) as name, min(judet) judet, min(uat) uat from sd where {_CULT} group by 1 having count(distinct siruta) = 1) where length(name) between 10 and 30 and contains(name, ' ') and translate(split_part(name, ' ', 1), '{UPPER}', '{LOWER}') in (select translate(unnest([{_HEADS_SQL}]), '{UPPER}', '{LOWER}'))) where rn = 1 order by prefix limit 14")
 def local_uniques(v: Views) -> DataFrame:
+    """The first name of each landscape word that one municipality alone has; letters A to Z count in either case."""
+    small = lambda c: F.translate(c, UPPER, LOWER)
     g = v.sd.where(_CULT).groupBy("name_normalized").agg(F.min("name").alias("name"), F.min("judet").alias("judet"), F.min("uat").alias("uat"), F.count_distinct("siruta").alias("units"))
-    g = g.where((F.col("units") == 1) & F.length("name").between(10, 30) & F.col("name").rlike(f"^({_HEADS}) ")).withColumn("prefix", F.substring_index("name", " ", 1))
-    return profiles.top_per_group(g, ["prefix"], ["name", "name_normalized"], 1).select("name", "judet", "uat")
+    g = g.withColumn("prefix", F.substring_index("name", " ", 1)).where((F.col("units") == 1) & F.length("name").between(10, 30) & F.contains("name", F.lit(" ")) & small(F.col("prefix")).isin([h.translate(str.maketrans(UPPER, LOWER)) for h in HEADS]))
+    return profiles.top_per_group(g, ["prefix"], ["name", "name_normalized"], 1).orderBy("prefix").limit(14).select("name", "judet", "uat")
 
 
 @panel(f"select judet, count(*) n from (select name_normalized, min(judet) judet, count(*) k from sd where {_CULT} group by 1 having count(distinct judet) = 1) where k >= 3 group by 1 order by 2 desc, 1 limit 8")
@@ -250,7 +258,10 @@ def mean_age_at_death(v: Views) -> DataFrame:
     return g.agg(F.round(F.sum(F.col("age") * F.col("k")).cast("double") / F.sum("k"), 6).alias("mean_age"), n_rows().alias("persons"), F.min("age").cast("int").alias("youngest"))
 
 
-_CAUSE = "case when coalesce(cause_of_death_label, '') = '' then 'unknown' " + " ".join(f"when regexp_matches(lower(cause_of_death_label), '{c}') then '{k}'" for k, c in CAUSES.items()) + " else 'other' end"
+_CAUSE = """case when coalesce(cause_of_death_label, '') = '' then 'necunoscută'
+    when regexp_matches(lower(cause_of_death_label), 'tuberculosis|pneumonia|typhus|plague|cancer|hepatitis|nephritis|infarction|stroke|gout|seizure|foodborne|lung|infectious|alzheimer|asphyxia|disease|illness') then 'boală'
+    when regexp_matches(lower(cause_of_death_label), 'gunshot|shooting|execution|decapitation|breaking wheel|poison|ambush|murder|killed') then 'violență'
+    when regexp_matches(lower(cause_of_death_label), 'collision|vehicle|accident|earthquake|invention') then 'accident' else 'altele' end"""
 
 
 @panel(f"select {_CAUSE} cause, count(*) persons, {_pct('count(*)', 'sum(count(*)) over ()')} pct from p group by 1")
@@ -312,6 +323,7 @@ def canon_set(v: Views) -> DataFrame:
     from (select *, count(*) over (partition by item) sup from {_BASKETS}) a join (select *, count(*) over (partition by item) sup from {_BASKETS}) b on a.basket = b.basket and a.item < b.item, (select count(distinct basket) n from {_BASKETS}) t
     where a.sup >= greatest(5, floor(0.05 * t.n)) and b.sup >= greatest(5, floor(0.05 * t.n)) group by a.item, b.item, a.sup, b.sup, t.n having count(*) >= 5""")
 def person_pairs_by_lift(v: Views) -> DataFrame:
+    """Every pair; ``surprising_pairs`` is its head without the pairs that one expects."""
     return profiles.association_rules(profiles.baskets(_persons(v, "full_name"), "siruta", "full_name"))
 
 
@@ -323,48 +335,51 @@ def theme_entropy_bits(v: Views) -> DataFrame:
 # ---- words and letters ------------------------------------------------------------------------------------------------
 
 _NAMES = f"(select name_normalized n, min(name) disp, count(*) streets, count(distinct siruta) uats from sd where {_CULT} group by 1)"
+_WORDS = "(select name_normalized n, min(name) disp, count(*) streets, count(distinct siruta) uats from sd where is_numeric = 0 group by 1)"
 
 
-def _names(v: Views) -> DataFrame:
-    return v.sd.where(_CULT).groupBy(F.col("name_normalized").alias("n")).agg(F.min("name").alias("disp"), n_rows().alias("streets"), F.count_distinct("siruta").alias("uats"))
+def _names(v: Views, which: str = _CULT) -> DataFrame:
+    return v.sd.where(which).groupBy(F.col("name_normalized").alias("n")).agg(F.min("name").alias("disp"), n_rows().alias("streets"), F.count_distinct("siruta").alias("uats"))
 
 
-@panel(f"select upper(left(n, 1)) letter, count(*) as names, sum(streets)::bigint streets from {_NAMES} where regexp_matches(n, '^[a-z]') group by 1")
+@panel(f"select upper(left(n, 1)) letter, count(*) as names, sum(streets)::bigint streets from {_WORDS} where regexp_matches(n, '^[a-z]') group by 1")
 def first_letters(v: Views) -> DataFrame:
-    return _names(v).where("n rlike '^[a-z]'").groupBy(F.upper(F.substring("n", 1, 1)).alias("letter")).agg(n_rows().alias("names"), F.sum("streets").alias("streets"))
+    return _names(v, "is_numeric = 0").where("n rlike '^[a-z]'").groupBy(F.upper(F.substring("n", 1, 1)).alias("letter")).agg(n_rows().alias("names"), F.sum("streets").alias("streets"))
 
 
-@panel(f"select disp, streets, uats from (select *, regexp_replace(n, '[^a-z0-9]', '', 'g') k from {_NAMES}) where length(k) >= 5 and k = reverse(k) and not regexp_matches(n, '^a [ivxlcdm]+-?a?$')")
+@panel(f"select disp, streets, uats from (select *, regexp_replace(n, '[^a-z0-9]', '', 'g') k from {_WORDS}) where length(k) >= 5 and k = reverse(k) and not regexp_matches(n, '^a [ivxlcdm]+-?a?$')")
 def palindromes(v: Views) -> DataFrame:
     k = F.regexp_replace("n", "[^a-z0-9]", "")
-    return _names(v).where((F.length(k) >= 5) & (k == F.reverse(k)) & ~F.col("n").rlike(r"^a [ivxlcdm]+-?a?\z")).select("disp", "streets", "uats")
+    return _names(v, "is_numeric = 0").where((F.length(k) >= 5) & (k == F.reverse(k)) & ~F.col("n").rlike(r"^a [ivxlcdm]+-?a?\z")).select("disp", "streets", "uats")
 
 
-@panel(f"select disp, len, streets from (select *, length(regexp_replace(trim(disp), '\\s+', ' ', 'g')) len from {_NAMES}) where not contains(trim(disp), ' ') and regexp_full_match(trim(disp), '\\p{{L}}+') and len >= 3 order by len, streets desc, n limit 8")
+@panel(f"select disp, len, streets from (select *, length(regexp_replace(trim(disp), '\\s+', ' ', 'g')) len from {_WORDS}) where not contains(trim(disp), ' ') and regexp_full_match(trim(disp), '\\p{{L}}+') and len >= 3 order by len, streets desc, n limit 8")
 def shortest_names(v: Views) -> DataFrame:
     d = F.trim("disp")
-    x = _names(v).withColumn("len", F.length(F.regexp_replace(d, r"\s+", " "))).where(d.rlike(r"^\p{L}+$") & (F.col("len") >= 3))
+    x = _names(v, "is_numeric = 0").withColumn("len", F.length(F.regexp_replace(d, r"\s+", " "))).where(d.rlike(r"^\p{L}+$") & (F.col("len") >= 3))
     return x.orderBy("len", F.desc("streets"), "n").limit(8).select("disp", "len", "streets")
 
 
+# Prepositions that open names.
 _PREPS = ["la", "sub", "catre", "peste", "intre", "spre", "dupa", "langa", "din", "in", "pe", "dinspre", "dintre", "deasupra"]
 
 
-@panel(f"select disp, streets from {_NAMES} where contains(n, ' ') and split_part(n, ' ', 1) in ({', '.join(repr(p) for p in _PREPS)}) order by streets desc, n limit 18")
+@panel(f"select disp, streets from {_WORDS} where contains(n, ' ') and split_part(n, ' ', 1) in ({', '.join(repr(p) for p in _PREPS)}) order by streets desc, n limit 18")
 def prepositional_names(v: Views) -> DataFrame:
-    return _names(v).where(F.col("n").contains(" ") & F.split("n", " ")[0].isin(_PREPS)).orderBy(F.desc("streets"), "n").limit(18).select("disp", "streets")
+    return _names(v, "is_numeric = 0").where(F.col("n").contains(" ") & F.split("n", " ")[0].isin(_PREPS)).orderBy(F.desc("streets"), "n").limit(18).select("disp", "streets")
 
 
-@panel(f"select disp, streets, missing from (select name_normalized, min(name) disp, count(*) streets, list_sort(list_distinct(list(judet))) seen from sd where {_CULT} group by 1) s, (select judet missing from sd group by 1) m where not list_contains(seen, missing) and len(seen) = (select count(distinct judet) - 1 from sd)")
+@panel(f"select disp, streets, missing from (select name_normalized, min(name) disp, count(*) streets, list_sort(list_distinct(list(judet))) seen from sd where is_numeric = 0 group by 1) s, (select judet missing from sd where is_numeric = 0 group by 1) m where not list_contains(seen, missing) and len(seen) = (select count(distinct judet) - 1 from sd where is_numeric = 0)")
 def near_universal(v: Views) -> DataFrame:
-    every = sorted(r[0] for r in v.sd.where("judet is not null").select("judet").distinct().collect())  # the counties
-    g = v.sd.where(_CULT).groupBy("name_normalized").agg(F.min("name").alias("disp"), n_rows().alias("streets"), F.collect_set("judet").alias("seen"))
-    return g.where(F.size("seen") == len(every) - 1).select("disp", "streets", F.array_except(F.array(*map(F.lit, every)), "seen")[0].alias("missing"))
+    named = v.sd.where("is_numeric = 0")
+    every = named.where("judet is not null").agg(F.array_sort(F.collect_set("judet"))).scalar()  # the counties
+    g = named.groupBy("name_normalized").agg(F.min("name").alias("disp"), n_rows().alias("streets"), F.collect_set("judet").alias("seen"))
+    return g.where(F.size("seen") == F.size(every) - 1).select("disp", "streets", F.array_except(every, "seen")[0].alias("missing"))
 
 
-@panel(f"select count(*) as names, count(*) filter (uats = 1) singletons, {_pct('count(*) filter (uats = 1)', 'count(*)')} pct from {_NAMES}")
+@panel(f"select count(*) as names, count(*) filter (uats = 1) singletons, {_pct('count(*) filter (uats = 1)', 'count(*)')} pct from {_WORDS}")
 def singleton_share(v: Views) -> DataFrame:
-    return _names(v).agg(n_rows().alias("names"), n_if(F.col("uats") == 1).alias("singletons"), pct(n_if(F.col("uats") == 1), n_rows()).alias("pct"))
+    return _names(v, "is_numeric = 0").agg(n_rows().alias("names"), n_if(F.col("uats") == 1).alias("singletons"), pct(n_if(F.col("uats") == 1), n_rows()).alias("pct"))
 
 
 # ---- entities ---------------------------------------------------------------------------------------------------------
@@ -385,10 +400,21 @@ def person_pages(v: Views) -> DataFrame:
     return x.groupBy("full_name").agg(F.min("wikidata_qid").alias("wikidata_qid"), F.count("id").alias("streets"), F.count_distinct("core_name_norm").alias("spellings"))
 
 
-@panel("select siruta, min(judet) judet, min(uat) uat, count(*) streets from sd group by 1 having (min(uat) like 'MUNICIPIUL%' and count(*) >= 50) or min(uat) like 'MUNICIPIUL%SECTOR%' or count(*) >= 200")
+# The codes of the county seats.
+SEATS = [
+    1017, 13169, 9262, 20297, 26564, 32394, 42682, 35731, 40198, 44818, 54975, 92569, 50790, 60419, 63394, 65342, 69900, 77812, 75098, 100521, 86687, 83320, 100576, 92658, 95060, 109773, 106318, 114319,
+    120726, 125347, 130534, 143450, 139704, 136483, 146263, 159614, 155243, 151790, 167473, 174744, 161945,
+]
+_SEATS_SQL = "1017, 13169, 9262, 20297, 26564, 32394, 42682, 35731, 40198, 44818, 54975, 92569, 50790, 60419, 63394, 65342, 69900, 77812, 75098, 100521, 86687, 83320, 100576, 92658, 95060, 109773, 106318, 114319, 120726, 125347, 130534, 143450, 139704, 136483, 146263, 159614, 155243, 151790, 167473, 174744, 161945"
+_UNITS_SQL = f"(select siruta, arg_min(judet, id) judet, arg_min(uat, id) uat, count(*) streets, coalesce(siruta in ({_SEATS_SQL}), false) is_capital from sd group by 1 having siruta in ({_SEATS_SQL}) or arg_min(judet, id) = 'B' or (arg_min(uat, id) like 'MUNICIPIUL %' and count(*) >= 50))"
+
+
+@panel(f"select siruta, judet, translate(uat, 'şţŞŢ', 'șțȘȚ') uat, streets, is_capital, trim(regexp_replace(lower(strip_accents(replace(replace(uat, 'î', 'â'), 'Î', 'Â'))), '[^a-z0-9]+', '-', 'g'), '-') slug from {_UNITS_SQL}")
 def unit_pages(v: Views) -> DataFrame:
-    g = v.sd.groupBy("siruta").agg(F.min("judet").alias("judet"), F.min("uat").alias("uat"), n_rows().alias("streets"))
-    return g.where("(uat like 'MUNICIPIUL%' and streets >= 50) or uat like 'MUNICIPIUL%SECTOR%' or streets >= 200")
+    """The municipalities with a page: county seats, the sectors of the capital, and towns called MUNICIPIUL with at least fifty streets."""
+    g = v.sd.groupBy("siruta").agg(F.min_by("judet", "id").alias("judet"), F.min_by("uat", "id").alias("uat"), n_rows().alias("streets")).withColumn("is_capital", F.coalesce(F.col("siruta").isin(SEATS), F.lit(False)))
+    g = g.where("is_capital or judet = 'B' or (uat like 'MUNICIPIUL %' and streets >= 50)")
+    return g.select("siruta", "judet", tx.fix_diacritics(F.col("uat")).alias("uat"), "streets", "is_capital", tx.slugify(tx.fix_diacritics(F.col("uat"))).alias("slug")).where("slug != ''")
 
 
 @panel(f"select 'macro' kind, {_V5} theme, count(*) n from st group by 2 union all select 'profession', profession, count(*) from st where profession is not null group by 2 union all select 'nature', nature_type, count(*) from st where has_nature group by 2 union all select 'ideology', subcategory, count(*) from st where category = 'ideological' group by 2")
@@ -406,14 +432,17 @@ def street_details(v: Views) -> DataFrame:
     return v.sd.groupBy("name_normalized", "judet").agg(n_rows().alias("streets"), F.count_distinct("siruta").alias("units"), F.array_join(F.array_sort(F.collect_set("uat")), ";").alias("uats"))
 
 
-@panel("select full_name, peer, streets, rn from (select a.full_name, b.full_name peer, b.k streets, row_number() over (partition by a.full_name order by b.k desc, b.full_name) rn from (select full_name, min(profession) profession from p group by 1) a join (select full_name, min(profession) profession, count(*) k from sd join p using (core_name_norm) group by 1) b on a.profession = b.profession and a.full_name <> b.full_name) where rn <= 8")
+@panel("""select core_name_norm, peer, streets, rn from (select a.core_name_norm, b.core_name_norm peer, b.k streets, row_number() over (partition by a.core_name_norm order by b.k desc, b.core_name_norm) rn
+    from p a join (select p.core_name_norm, profession, era, count(s.id) k from p left join sd s using (core_name_norm) group by 1, 2, 3) b on (a.profession <> '' and a.profession = b.profession or a.era <> '' and a.era = b.era) and a.core_name_norm <> b.core_name_norm) where rn <= 8""")
 def person_peers(v: Views) -> DataFrame:
-    """The most honoured persons of a person's profession: the nine best of each profession are enough for all its persons."""
-    every = v.persons.groupBy("full_name").agg(F.min("profession").alias("profession"))
-    best = _persons(v, "full_name", "profession").groupBy("full_name").agg(F.min("profession").alias("profession"), n_rows().alias("streets")).where("profession is not null")
-    best = profiles.top_per_group(best, ["profession"], [F.desc("streets"), "full_name"], 9).select(F.col("full_name").alias("peer"), "profession", "streets")
-    x = every.join(best, "profession").where("full_name != peer")
-    return profiles.top_per_group(x, ["full_name"], [F.desc("streets"), "peer"], 8).select("full_name", "peer", "streets", "rn")
+    """The eight most honoured other persons of a person's profession or era: those are among the nine best of either."""
+    best = v.persons.select("core_name_norm", "profession", "era").join(v.sd.select("core_name_norm", "id"), "core_name_norm", "left").groupBy("core_name_norm", "profession", "era").agg(F.count("id").alias("streets"))
+    near = None
+    for c in ("profession", "era"):
+        top = profiles.top_per_group(best.where(f"{c} != ''"), [c], [F.desc("streets"), "core_name_norm"], 9).select(F.col("core_name_norm").alias("peer"), c, "streets")
+        x = v.persons.select("core_name_norm", c).join(top, c).select("core_name_norm", "peer", "streets")
+        near = x if near is None else near.unionByName(x)
+    return profiles.top_per_group(near.where("core_name_norm != peer").distinct(), ["core_name_norm"], [F.desc("streets"), "peer"], 8)
 
 
 @panel(f"select siruta, name_normalized, units from (select distinct siruta, name_normalized from sd where {_CULT}) join (select name_normalized, count(distinct siruta) units from sd group by 1 having count(distinct siruta) <= 3) using (name_normalized)")
@@ -506,18 +535,20 @@ def postal_resolution_ladder(v: Views) -> DataFrame:
 
 _ATTR = "wikidata_qid, full_name, profession, nationality, gender, era, wiki_scope, category, subcategory, nature_type, place_type, country"
 _ATTR_MAX = ", ".join(f"max({c}) {c}" for c in _ATTR.split(", "))
-_ROW = f"select name, street_type, uat, judet, siruta, core_name, name_normalized, name_count, {_CLASS} classification, {_ATTR} from (select *, count(*) over (partition by name_normalized) name_count from st)"
+_ROW = f"select name, street_type, uat, judet, siruta, core_name, name_normalized, name_count, {_CLASS} classification, {_ATTR}, trim(regexp_replace(name_normalized, '[^a-z0-9]+', '-', 'g'), '-') street_slug from (select *, count(*) over (partition by name_normalized) name_count from st)"
 
 
 def _filter(name: str, params: dict, where: str, sort: str = "count", limit: int = 200, offset: int = 0) -> None:
     order = {"count": "name_count desc, name nulls first", "name": "name nulls first", "location": "judet nulls first, uat nulls first, name nulls first"}[sort]
-    PANELS[f"filter_rows_{name}"] = lambda v: fl.page(fl.filtered_rows(v.star, params), sort, limit, offset).drop("street_slug", "id")
+    PANELS[f"filter_rows_{name}"] = lambda v: fl.page(fl.filtered_rows(v.star, params), sort, limit, offset).drop("id")
     PANELS_SQL[f"filter_rows_{name}"] = CTES + f"select * from ({_ROW.replace('from (select *,', 'from (select *, id idx,')} where {where} order by {order}, name_normalized, street_type nulls first, siruta nulls first, id limit {limit} offset {offset})"
     PANELS[f"filter_names_{name}"] = lambda v: fl.page(fl.filtered_names(v.star, params), "name" if sort == "name" else "count", limit, offset)
     agg_order = "name nulls first" if sort == "name" else "name_count desc, name nulls first"
     PANELS_SQL[f"filter_names_{name}"] = CTES + f"select name_normalized, name, core_name, name_count, {_CLASS} classification, {_ATTR} from (select name_normalized, max(name) as name, max(core_name) core_name, count(*) name_count, max(is_numeric) is_numeric, max(is_date) is_date, max(is_saint) is_saint, bool_or(has_person) has_person, bool_or(has_nature) has_nature, bool_or(has_place) has_place, bool_or(has_category) has_category, {_ATTR_MAX} from st where {where} group by 1) order by {agg_order}, name_normalized limit {limit} offset {offset}"
     PANELS[f"filter_total_{name}"] = lambda v: fl.total(fl.filtered_rows(v.star, params))
     PANELS_SQL[f"filter_total_{name}"] = CTES + f"select count(*) total from st where {where}"
+    PANELS[f"filter_groups_{name}"] = lambda v: fl.total(fl.filtered_names(v.star, params))
+    PANELS_SQL[f"filter_groups_{name}"] = CTES + f"select count(distinct name_normalized) total from st where {where}"
 
 
 _filter("persons", {"profession": ["poet", "pictor"], "gender": ["F"]}, "profession in ('poet', 'pictor') and gender = 'F'")
@@ -602,18 +633,16 @@ def shared_identifiers(v: Views) -> DataFrame:
 
 # ---- text functions over whole tables ---------------------------------------------------------------------------------
 
-_NORM = "trim(lower(strip_accents(replace(replace(replace(replace({c}, 'î', 'â'), 'Î', 'Â'), 'ş', 'ș'), 'ţ', 'ț'))))"
-
-
-@panel(f"select id, translate(name, 'şţŞŢ', 'șțȘȚ') fixed, {_NORM.format(c='name')} normalized, trim(regexp_replace({_NORM.format(c='name')}, '[^a-z0-9]+', '-', 'g'), '-') slug from raw where not regexp_matches(name, '(?i)\\bG[-.]ral\\b')")
+# the table's own column is the key of the name
+@panel("select id, translate(name, 'şţŞŢ', 'șțȘȚ') fixed, name_normalized normalized, trim(regexp_replace(name_normalized, '[^a-z0-9]+', '-', 'g'), '-') slug from raw")
 def normalized_names(v: Views) -> DataFrame:
     c = F.col("name")
     return v.raw.select("id", tx.fix_diacritics(c).alias("fixed"), tx.normalize_match(c).alias("normalized"), tx.slugify(c).alias("slug"))
 
 
-@panel("select id, street_type, name from raw")
+@panel("""select id, street_type, name, array_to_string(list_filter(list_transform(regexp_extract_all(translate(artera_raw, 'şţŞŢ', 'șțȘȚ'), '\\(([^)]+)\\)', 1), lambda x: regexp_replace(x, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g')), lambda x: length(x) > 2), ';') aliases from raw""")
 def parsed_arteries(v: Views) -> DataFrame:
-    return v.raw.select("id", tx.parse_artery(F.col("artera_raw")).alias("x")).select("id", "x.street_type", "x.name")
+    return v.raw.select("id", tx.parse_artery(F.col("artera_raw")).alias("x")).select("id", "x.street_type", "x.name", F.array_join("x.aliases", ";").alias("aliases"))
 
 
 @panel('select id, title, "rank", is_saint, is_date, is_numeric, core_name from raw')
@@ -626,10 +655,11 @@ def swapped_tokens(v: Views) -> DataFrame:
     return v.table("postal_streets").select("id", tx.swap_two_tokens(F.col("core_name_norm")).alias("swapped"))
 
 
-_POSTAL = "case " + " ".join(f"when t = '{k}' then '{x}'" for k, x in tx.POSTAL_TYPES.items()) + " else t end"
+_POSTAL = """case t when 'Stradă' then 'Strada' when 'Bulevard' then 'Bulevardul' when 'Cale' then 'Calea' when 'Drum' then 'Drumul' when 'Intrare' then 'Intrarea' when 'Prelungire' then 'Prelungirea' when 'Sosea' then 'Șoseaua'
+    when 'Splai' then 'Splaiul' when 'Stradelă' then 'Stradela' when 'Cartier' then 'Cartierul' when 'Fundătură' then 'Fundătura' when 'Fundac' then 'Fundătura' when 'Pasaj' then 'Pasajul' when 'Trecătoare' then 'Trecerea' when 'Potecă' then 'Cărarea' else t end"""
 
 
-@panel(f"select id, case when starts_with(t, 'Alee') then 'Aleea' else {_POSTAL} end street_type from (select id, translate(trim(tip_artera_raw), 'şţŞŢ', 'șțȘȚ') t from postal_streets)")
+@panel(f"select id, case when t = '' then null when starts_with(t, 'Alee') then 'Aleea' else {_POSTAL} end street_type from (select id, translate(trim(tip_artera_raw), 'şţŞŢ', 'șțȘȚ') t from postal_streets)")
 def mapped_postal_types(v: Views) -> DataFrame:
     return v.table("postal_streets").select("id", tx.map_street_type(F.col("tip_artera_raw")).alias("street_type"))
 
@@ -701,7 +731,7 @@ GRAMS = (1, 2, 4, 8)
 
 @panel("""select core_name_norm, arg_min(qid, (1 - sure, qid)) qid, max(sure) sure from (select a.core_name_norm, b.wikidata_qid qid,
     case when lower(b.full_name) = lower(a.full_name) then case when a.gender is not null or a.birth_year is not null or a.death_year is not null then 0.95::double else 0.85::double end else 0.7::double end sure
-    from p a join p b on b.wikidata_qid is not null and string_split(lower(a.full_name), ' ')[-1] = string_split(lower(b.full_name), ' ')[-1] and contains(lower(b.full_name), lower(a.full_name)) where a.wikidata_qid is null) group by 1""")
+    from p a join p b on b.wikidata_qid is not null and contains(lower(b.full_name), lower(a.full_name)) where a.wikidata_qid is null) group by 1""")
 def identifier_candidates(v: Views) -> DataFrame:
     """The best identifier for persons without one: by the same name, or as part of a longer one.
 

@@ -2,6 +2,7 @@
 
 import pytest
 
+import hodonym.plans.drilldowns  # noqa: F401
 from hodonym.plans.adapter import Views
 from hodonym.plans.catalog import CATALOG
 from hodonym.plans.catalog_sql import CATALOG_SQL

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hodonym.functions.text import match_key, slugify
+from hodonym.functions.text import key_slug, match_key
 from hodonym.operators.classify import filter_class
 
 MOST, USUAL = 1000, 200
@@ -48,7 +48,7 @@ def filtered_rows(star: DataFrame, params: Params) -> DataFrame:
     """A row per street; ``name_count`` counts the name among all streets, before the filter."""
     counts = star.groupBy("name_normalized").agg(F.count(F.lit(1)).alias("name_count"))
     x = star.where(predicate(params)).join(counts, "name_normalized", "left")
-    return x.select("name", "street_type", "uat", "judet", "siruta", "core_name", "name_normalized", "name_count", filter_class().alias("classification"), *ATTRIBUTES, slugify(F.col("name")).alias("street_slug"), "id")
+    return x.select("name", "street_type", "uat", "judet", "siruta", "core_name", "name_normalized", "name_count", filter_class().alias("classification"), *ATTRIBUTES, key_slug(F.col("name_normalized")).alias("street_slug"), "id")
 
 
 def filtered_names(star: DataFrame, params: Params) -> DataFrame:

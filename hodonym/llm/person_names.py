@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hodonym.llm.canonical_values import edit_cost, fold
+from hodonym.llm.edits import half_blocks
 from hodonym.llm.nicknames import PET_FORMS, givens
 from hodonym.llm.street_names import TITLES
 from hodonym.session import materialize, parallelism, ship_code
@@ -41,6 +42,8 @@ EVIDENCE = ((4.0, -6.0), (4.0, -6.0), (6.0, -6.0), (1.5, -3.0), (0.3, -4.0))
 FACTS = ("birth_year", "death_year", "wikidata_qid", "profession", "gender")
 #: The posterior that a spelling's best form must have; 0 attaches every spelling to its best form.
 LEAST_POSTERIOR = 0.5
+#: Shorter names are not sought with an edit.
+LEAST_LETTERS = 6
 #: Longer names are compared whole, not by parts.
 MOST_LETTERS, MOST_WORDS = 120, 8
 #: Opens the full names among the spellings.
@@ -79,7 +82,6 @@ def _form_blocks(form: str) -> list[str]:
     text = " ".join(w)
     out = {f"k{told} {text}"}
     if _short(w):
-        out |= {f"d{told} {text[:i]}{text[i + 1:]}" for i in range(len(text))} | {f"d{told} {text}"}
         out |= {f"i{told} {y} {x[0]}" for y, x in itertools.permutations(w, 2)}
         if len(w) > 2:
             out |= {f"p{told} {a} {b}" for a, b in itertools.combinations(w, 2)}
@@ -98,12 +100,18 @@ def _spelling_blocks(key: str) -> list[str]:
     out |= {f"p{told} {a} {b}" for a, b in itertools.combinations(full, 2)}
     for i, x in enumerate(w):
         out |= {f"k{told} {' '.join(sorted((*w[:i], g, *w[i + 1 :])))}" for g in givens(x) if len(w) > 1}
-    for text in {" ".join(w), " ".join(reversed(w))}:
-        if len(text) >= 6 and not letters:
-            out |= {f"d{told} {text[:i]}{text[i + 1:]}" for i in range(len(text))} | {f"d{told} {text}"}
     return sorted(out)
 
 
+@F.udf(T.ArrayType(T.StringType()), useArrow=True)
+def _edited_orders(key: str) -> list[str]:
+    """The orders of a spelling's words in which it is sought with an edit."""
+    w, _ = _parts(key)
+    if not _short(w) or len(" ".join(w)) < LEAST_LETTERS or any(len(x) == 1 for x in w):
+        return []
+    return sorted({" ".join(w), " ".join(reversed(w))})
+
+
 def _word_channel(x: str, y: str, given: frozenset[str] | set[str]) -> float | None:
     """Log-likelihood that the word ``y`` of a form is written as ``x``."""
     if len(x) == 1:
@@ -260,7 +268,12 @@ def person_groups(persons: DataFrame, streets: DataFrame, least: float = LEAST_P
     self_ = forms.select(F.col("form").alias("own"), F.col("form_n").alias("own_n"), "support")
     rows = rows.join(self_, "own", "left").select("s", "key", "full", "g", "own", F.coalesce("own_n", F.lit(0)).alias("own_n"), _sure("support"), *FACTS)
     target = forms.select("eid", "form", "form_n", _sure("support").alias("form_support"), "form_g", *(f"form_{f}" for f in FACTS))
-    pairs = sought.join(blocks, "b").select("s", "eid").distinct().join(target, "eid").join(rows, "s")
+    halves = lambda c, told, lengths: F.explode(F.transform(F.array(*half_blocks(F.col(c), lengths)), lambda x: F.struct(F.xxhash64(told, x["b"]).alias("b"), x["rest"].alias("rest")))).alias("x")
+    generation = lambda c: F.coalesce(F.get(F.split(F.split(c, "[|]")[0], "#"), F.lit(1)), F.lit(""))
+    ours = forms.select("eid", F.array_join(_words("form"), " ").alias("t"), generation("form").alias("told")).where(F.length("t") < MOST_LETTERS + MOST_WORDS).repartition(spread).select("eid", halves("t", F.col("told"), [0])).select("eid", "x.b", "x.rest")
+    theirs = keys.select("s", F.explode(_edited_orders("k")).alias("t"), generation("k").alias("told")).select("s", halves("t", F.col("told"), [-1, 0, 1])).select("s", "x.b", F.col("x.rest").alias("s_rest"))
+    edited = theirs.join(ours, "b").where(F.levenshtein("rest", "s_rest", 1) >= 0).select("s", "eid")
+    pairs = sought.join(blocks, "b").select("s", "eid").unionByName(edited).distinct().join(target, "eid").join(rows, "s")
     scored = pairs.select("s", "key", "full", "g", "own", "own_n", "support", "form", "form_n", "form_support", "form_g", *FACTS, *(f"form_{f}" for f in FACTS)).mapInArrow(_score, "s string, form string, score double")
     best = scored.groupBy("s").agg(F.max_by("form", F.struct("score", "form")).alias("form"), F.max("score").alias("top"), F.sum(F.exp("score")).alias("sum"))
     stay = F.log("own_n") + F.when(F.coalesce("support", F.lit(99)) >= SUPPORT, 0.0).otherwise(UNSUPPORTED)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hodonym.llm.canonical_values import EDITED, Dictionary, edit_cost, fold
+from hodonym.llm.edits import half_blocks
 from hodonym.llm.label_model import LabelModel
 from hodonym.llm.nicknames import givens
 from hodonym.llm.street_names import SAINT, TITLES, Parser, core_words, is_number
@@ -74,24 +75,6 @@ def cadastre_side(renns: DataFrame, units: DataFrame, types: Dictionary) -> Data
 LEAST_LETTERS = 5
 
 
-def _half_blocks(c: Column, lengths: list[int]) -> list[Column]:
-    """(block, rest) of both halves that a name of ``length(c)`` letters more or less could share with ``c``.
-
-    If two names differ by one edit, it lies in one half of the other name, and the other half is the same in both.
-    """
-    m, out = F.length(c), []
-    for d in lengths:
-        n = m + d
-        head = F.floor(n / 2).cast("int")
-        tail = n - head
-        sized = lambda x, rest, side: F.struct(F.concat_ws("\x1f", F.lit(side), n.cast("string"), x).alias("b"), rest.alias("rest"))  # noqa: E731, B023
-        out.append(sized(c.substr(F.lit(1), head), c.substr(head + 1, m), "<"))
-        out.append(sized(c.substr(m - tail + 1, m), c.substr(F.lit(1), m - tail), ">"))
-    # two neighbours that changed places may spoil both halves, but leave the letters what they are
-    letters = F.array_join(F.array_sort(F.split(c, "")), "")
-    return [*out, F.struct(F.concat(F.lit("~"), letters).alias("b"), F.lit("").alias("rest"))]
-
-
 def _registry_blocks() -> Column:
     """Blocks of a street; the surname may stand at either end, whatever the number of words."""
     w = F.split("words", " ")
@@ -198,7 +181,7 @@ def candidates(registry: DataFrame, cadastre: DataFrame) -> DataFrame:
     ours = named.select("muni", "eid", F.explode(_registry_blocks()).alias("b")).select("eid", block("b").alias("b"))
     theirs = sought.select("rid", "muni", F.explode(_cadastre_blocks("r_words")).alias("b")).select("rid", block("b").alias("b"))
     pairs = theirs.join(ours, "b").select("rid", "eid")
-    halves = lambda c, lengths: F.explode(F.array(*_half_blocks(F.col(c), lengths))).alias("x")
+    halves = lambda c, lengths: F.explode(F.array(*half_blocks(F.col(c), lengths))).alias("x")
     ours = named.where(F.length("key") >= LEAST_LETTERS).select("muni", "eid", halves("key", [0])).select("eid", block("x.b").alias("b"), F.col("x.rest").alias("rest"))
     two = F.split("r_words", " ")
     orders = F.when(F.size(two) == 2, F.array_distinct(F.array(F.col("r_words"), F.concat_ws(" ", two[1], two[0])))).otherwise(F.array("key"))

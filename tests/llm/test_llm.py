@@ -88,6 +88,23 @@ def test_term_counts(spark):
     assert item_counts(df.limit(0), ["f"]).count() == 0
 
 
+# ---- edits -----------------------------------------------------------------------------------------------------------
+
+
+def test_all_texts_within_one_edit_meet(spark):
+    from pyspark.sql import functions as F
+
+    from hodonym.llm.edits import half_blocks
+
+    rng = random.Random(21)
+    words = {"".join(rng.choices("abc", k=rng.randrange(5, 9))) for _ in range(400)}
+    df = spark.createDataFrame([(w,) for w in sorted(words)], "w string")
+    ours = df.select("w", F.explode(F.array(*half_blocks(F.col("w"), [0]))).alias("x")).select("w", "x.*")
+    theirs = df.select(F.col("w").alias("t"), F.explode(F.array(*half_blocks(F.col("w"), [-1, 0, 1]))).alias("x")).select("t", "x.b", F.col("x.rest").alias("r"))
+    met = {tuple(r) for r in theirs.join(ours, "b").where(F.levenshtein("rest", "r", 1) >= 0).select("t", "w").distinct().collect()}
+    assert {(a, b) for a in words for b in words if osa(a, b) <= 1} <= met
+
+
 # ---- 7 ----------------------------------------------------------------------------------------------------------------
 
 

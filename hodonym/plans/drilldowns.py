@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hodonym.functions import text as tx
-from hodonym.operators import profiles
+from hodonym.operators import profiles, roads
 from hodonym.operators.classify import coverage_class
 from hodonym.plans.adapter import Views
 from hodonym.plans.catalog import _persons, _roads, n_if, n_rows, pct
 from hodonym.plans.catalog_sql import _COVER, _ROADS, _pct
 from hodonym.plans.panels import _CULT, _PREPS, _SP, PANELS, PANELS_SQL, panel, unit_pages
+from hodonym.sources.readers import SECTORS
 
 _B = "case when judet like 'BUCURESTI%' or judet = 'B' then 'B' else judet end"
 
@@ -342,17 +343,14 @@ for _s in ("postal", "renns"):
     PANELS.pop("<lambda>")
 
 
-@panel("select count(distinct uat_siruta) units_with_rows, 3181 all_units, round(100.0::double * count(distinct uat_siruta) / 3181, 1) pct, (select count(distinct siruta) from streets) registry_units, count(*) filter (uat_siruta in (179132, 179141, 179150, 179169, 179178, 179187)) capital_rows from renns_streets")
+@panel("select count(distinct uat_siruta) units_with_rows, 3181 all_units, round(100.0::double * count(distinct uat_siruta) / 3181, 1) pct, (select count(distinct siruta) from streets) registry_units, count(*) filter (uat_siruta in (179141, 179150, 179169, 179178, 179187, 179196)) capital_rows from renns_streets")
 def national_coverage(v: Views) -> DataFrame:
     t = v.table("renns_streets")
-    g = t.agg(F.count_distinct("uat_siruta").alias("units_with_rows"), F.count(F.when(F.col("uat_siruta").isin(CAPITAL), 1)).alias("capital_rows"))
+    g = t.agg(F.count_distinct("uat_siruta").alias("units_with_rows"), F.count(F.when(F.col("uat_siruta").isin(list(SECTORS)), 1)).alias("capital_rows"))
     units = v.raw.agg(F.count_distinct("siruta")).scalar()
     return g.select("units_with_rows", F.lit(ALL_UNITS).alias("all_units"), pct(F.col("units_with_rows"), F.lit(ALL_UNITS)).alias("pct"), units.alias("registry_units"), "capital_rows")
 
 
-# The codes of the capital's six sectors.
-CAPITAL = [179132, 179141, 179150, 179169, 179178, 179187]
-
 _KEYS = "(select distinct core_name_norm k from sd where core_name_norm is not null and is_numeric = 0 and is_date = 0 and is_saint = 0)"
 
 
@@ -525,3 +523,16 @@ def regions_of_customers(v: Views) -> DataFrame:
     types = v.table("region").select(at("r_regionkey", 20_000_000_000).alias("node"), F.lit("region").alias("type"))
     start = customers.select(F.col("c_custkey").alias("node"))
     return profiles.ancestor_of_type(start, edges, types, ["region"], depth=3)
+
+
+_CLASS_OF = "case street_type when 'Bulevardul' then 'primary' when 'Calea' then 'secondary' when 'Șoseaua' then 'tertiary' when 'Strada' then 'residential' else 'service' end"
+
+
+@panel(f"""select uat_siruta, name_normalized, arg_min(name, id) as name, arg_min(locality_raw, id) locality_raw, array_to_string(list(id order by id), ',') way_ids,
+    arg_max(c, (list_position(['service', 'pedestrian', 'living_street', 'residential', 'unclassified', 'tertiary', 'secondary', 'primary'], c), -id)) highway_class, arg_min(road_status, id) filter (road_status <> '') "ref"
+    from (select *, {_CLASS_OF} c from renns_streets) group by 1, 2""")
+def merged_roads(v: Views) -> DataFrame:
+    """The cadastre's rows of one name as one road: the first row, all ids, the highest class, the first status that is given."""
+    cls = F.when(F.col("street_type") == "Bulevardul", "primary").when(F.col("street_type") == "Calea", "secondary").when(F.col("street_type") == "Șoseaua", "tertiary").when(F.col("street_type") == "Strada", "residential").otherwise("service")
+    ways = v.table("renns_streets").select("id", "uat_siruta", "name_normalized", "name", "locality_raw", F.col("id").alias("way"), cls.alias("highway_class"), F.col("road_status").alias("ref"))
+    return roads.merge_ways(ways, ["uat_siruta", "name_normalized"], "id", "way", "highway_class", "ref").drop("id").withColumn("way_ids", F.array_join(F.col("way_ids").cast("array<string>"), ","))

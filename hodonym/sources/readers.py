@@ -8,7 +8,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hodonym.functions.text import clean_road_type, extract_features, map_street_type, normalize_match, parse_artery, swap_two_tokens
+from hodonym.functions.text import clean_name, clean_road_type, extract_features, map_street_type, normalize_match, parse_artery, swap_two_tokens
 
 REGISTRY = "judet string, uat string, siruta string, artera_raw string"
 CENTRES = "siruta string, lat string, long string, cod_judet string, localitate string"
@@ -16,6 +16,8 @@ CURATION = [
     "core_name_norm", "freq", "judete_n", "uats_n", "sample_name", "judete_list", "table", "full_name", "gender", "birth_year", "death_year", "era", "profession", "nationality",
     "wikidata_qid", "term", "nature_type", "category", "subcategory", "place_name", "place_type", "country", "notes",
 ]
+# The codes of the capital's sectors and their centres.
+SECTORS = {179141: (44.47, 26.01), 179150: (44.46, 26.12), 179169: (44.43, 26.16), 179178: (44.40, 26.07), 179187: (44.40, 26.00), 179196: (44.44, 25.97)}
 _QUERY = re.compile(r"^-- :name[ \t]+(\S+)[ \t]*$", re.M)
 
 
@@ -52,20 +54,31 @@ def centres(spark: SparkSession, path: str) -> DataFrame:
     return x.where("siruta is not null")
 
 
+def with_sectors(centres_: DataFrame) -> DataFrame:
+    """The centres with the six sectors of the capital, which the list lacks; a code that is there already stays as it is."""
+    rows = [(code, "B", f"BUCUREȘTI SECTORUL {i}", *at) for i, (code, at) in enumerate(SECTORS.items(), 1)]
+    own = centres_.sparkSession.createDataFrame(rows, "siruta int, judet string, uat string, lat double, lon double")
+    return centres_.select("siruta", "judet", "uat", "lat", "lon").unionByName(own.join(centres_.select("siruta"), "siruta", "left_anti"))
+
+
 def postal(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Both postal sheets in one shape: (source_sheet, row_id, judet_raw, localitate_raw, code, street_type, name, core_name_norm, core_name_norm_swapped)."""
-    a = first.select(F.lit("capital").alias("source_sheet"), "row_id", F.lit("B").alias("judet_raw"), F.lit(None).cast("string").alias("localitate_raw"), F.col("sector_code").try_cast("int").alias("code"), "tip", "denumire")
+    """Both postal sheets in one shape: (source_sheet, row_id, judet_raw, localitate_raw, code, street_type, name, core_name_norm, core_name_norm_swapped).
+
+    Rows without a type or a name are left out, as are names that are nothing but a bracket.
+    """
+    a = first.select(F.lit("capital").alias("source_sheet"), "row_id", F.lit("București").alias("judet_raw"), F.lit(None).cast("string").alias("localitate_raw"), F.col("sector_code").try_cast("int").alias("code"), "tip", "denumire")
     b = second.select(F.lit("towns").alias("source_sheet"), "row_id", "judet_raw", "localitate_raw", F.col("sirsup").try_cast("int").alias("code"), "tip", "denumire")
-    x = a.unionByName(b).withColumn("_f", extract_features(F.col("denumire"))).withColumn("core_name_norm", F.when(F.col("_f.core_name").isNotNull(), normalize_match(F.col("_f.core_name"))))
-    return x.select("source_sheet", "row_id", "judet_raw", "localitate_raw", "code", map_street_type(F.col("tip")).alias("street_type"), F.col("denumire").alias("name"), "core_name_norm", swap_two_tokens(F.col("core_name_norm")).alias("core_name_norm_swapped"))
+    x = a.unionByName(b).where("tip != '' and denumire != ''").withColumn("name", clean_name(F.col("denumire"))).where("name is not null")
+    x = x.withColumn("_f", extract_features(F.col("name"))).withColumn("core_name_norm", F.when(F.col("_f.core_name").isNotNull(), normalize_match(F.col("_f.core_name"))))
+    return x.select("source_sheet", "row_id", "judet_raw", "localitate_raw", "code", map_street_type(F.col("tip")).alias("street_type"), "name", "core_name_norm", swap_two_tokens(F.col("core_name_norm")).alias("core_name_norm_swapped"))
 
 
 CADASTRE = "id long, name string, uat struct<id: int>, county struct<shortName: string>, locality struct<name: string>, roadType struct<name: string>, roadStatus struct<name: string>"
 
 
-def cadastre(spark: SparkSession, path: str) -> DataFrame:
-    """Cadastral items as JSON lines, flattened, with the type cleaned."""
-    x = spark.read.schema(CADASTRE).json(path)
+def cadastre(spark: SparkSession, path: str, pages: bool = False) -> DataFrame:
+    """Cadastral items, flattened, with the type cleaned: JSON lines, or files that each hold a page as one array."""
+    x = spark.read.schema(CADASTRE).option("multiLine", pages).json(path)
     return x.select("id", F.col("uat.id").alias("uat_siruta"), F.col("county.shortName").alias("judet"), F.col("locality.name").alias("locality_raw"), F.col("roadType.name").alias("road_type_raw"), clean_road_type(F.col("roadType.name")).alias("street_type"), "name", F.col("roadStatus.name").alias("road_status"))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import csv
+import io
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,23 @@ def text_table(df: DataFrame, rows: int = 15) -> str:
 def worklist(df: DataFrame, labels: list[str]) -> DataFrame:
     """``df`` with empty columns to be filled in."""
     return df.select("*", *(F.lit(None).cast("string").alias(c) for c in labels))
+
+
+#: The columns of the registry that the shipped tables keep.
+SLIM = ["judet", "uat", "siruta", "street_type", "name", "name_normalized", "core_name", "core_name_norm", "is_numeric", "is_date", "is_saint"]
+
+
+def write_slim(registry: DataFrame, path: str) -> None:
+    """The registry without the columns that only its making needs."""
+    replace_table(registry.select(*SLIM), path)
+
+
+def named_csv(results: list[tuple[str, DataFrame]], most: int = 1000) -> str:
+    """Several results as one CSV text for reading: each under ``# name``, an empty line between them, at most ``most`` rows each; null is empty."""
+    out = io.StringIO()
+    w = csv.writer(out, lineterminator="\n")
+    for i, (name, df) in enumerate(results):
+        out.write(("\n" if i else "") + f"# {name}\n")
+        w.writerow(df.columns)
+        w.writerows(["" if v is None else v for v in r] for r in df.limit(most).collect())
+    return out.getvalue()

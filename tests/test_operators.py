@@ -122,3 +122,13 @@ def test_references(spark):
     assert sum(r.end - r.start + 1 for r in runs) == len(parents)
     assert broken_references(c.limit(0), "id", "ref", "loaded_at", p, "id").count() == 0
     assert {r.reason for r in broken_references(c, "id", "ref", "loaded_at", p.limit(0), "id").collect()} == {"missing"}
+
+
+def test_roads(spark):
+    from hodonym.operators import roads
+
+    ways = spark.createDataFrame([("a", 1, "A1", "service", None, [(26.0, 44.0), (26.0, 44.01)]), ("a", 2, "A2", "primary", "", [(26.0, 44.01), (26.0, 44.0)]), ("a", 3, "A3", "primary", "DN1", [(26.0, 44.01), (26.01, 44.01)]), (None, 4, "B", "x", "DJ2", [(1.0, 1.0)])], "k string, n int, name string, cls string, ref string, p array<struct<lon:double,lat:double>>")
+    got = {r.k: r for r in roads.merge_ways(ways.withColumn("id", ways.n * 10), ["k"], "n", "id", "cls", "ref").collect()}
+    assert (got["a"].name, got["a"].way_ids, got["a"].cls, got["a"].ref) == ("A1", [10, 20, 30], "primary", "DN1") and got[None].way_ids == [40]
+    length = {r.k: r.length_m for r in roads.path_lengths(ways, ["k"], "p").collect()}
+    assert abs(length["a"] - (1111.95 + 799.76)) < 1.0 and None not in length

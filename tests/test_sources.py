@@ -56,3 +56,11 @@ def test_streams(spark, tmp_path):
         q.awaitTermination(60)
     assert sorted((r.kind, r.n) for r in spark.table("s_w").collect()) == [("a", 2), ("b", 1)]
     assert sorted(r.kind for r in spark.table("s_d").collect()) == ["a", "b"]
+
+
+def test_sectors_and_named_csv(spark):
+    c = spark.createDataFrame([(179141, "B", "OWN", 1.0, 2.0)], "siruta int, judet string, uat string, lat double, lon double")
+    got = {r.siruta: r.uat for r in readers.with_sectors(c).collect()}
+    assert len(got) == 6 and got[179141] == "OWN" and got[179196] == "BUCUREȘTI SECTORUL 6"
+    df = spark.createDataFrame([(1, None), (2, "a,b")], "x int, y string")
+    assert writers.named_csv([("one", df), ("two", df.limit(0))]) == '# one\nx,y\n1,\n2,"a,b"\n\n# two\nx,y\n'

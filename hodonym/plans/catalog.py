@@ -207,34 +207,55 @@ def _coverage(v: Views, m: DataFrame, name: str) -> DataFrame:
     return g.withColumn(f"pct_{name}", pct(F.col(f"{name}_matched"), F.col("registry_streets")))
 
 
-def _gap(v: Views, m: DataFrame, name: str) -> DataFrame:
-    x = v.sd.join(m.select(F.col("left_id").alias("id"), F.lit(1).alias("hit")), "id", "left")
-    g = x.groupBy("name_normalized").agg(F.min("name").alias("name"), F.count_distinct("uat").alias("uats_in_registry"), F.count_distinct(F.when(F.col("hit") == 1, F.col("uat"))).alias(f"uats_with_{name}_match"))
-    return g.where(f"uats_in_registry >= 10 and uats_with_{name}_match = 0").orderBy(F.desc("uats_in_registry"), "name_normalized").limit(30).drop("name_normalized")
+KEY = ["siruta", "core_name_norm"]
+
+
+def met_keys(v: Views, name: str) -> DataFrame:
+    """(siruta, core_name_norm, hit): the keys by which a registry row is matched by a source in some tier."""
+    t = getattr(v, name)
+    keys = t.select(*KEY)
+    if name == "postal":
+        keys = keys.union(t.select("siruta", "core_name_norm_swapped"))
+    return keys.where("siruta is not null and core_name_norm is not null").distinct().withColumn("hit", F.lit(1))
+
 
+def unmatched(v: Views, name: str) -> DataFrame:
+    """The rows of a source that no registry row matches in any tier.
 
-def _unmatched(t: DataFrame, m: DataFrame) -> DataFrame:
-    return t.join(m.select(F.col("right_id").alias("id")), "id", "left_anti")
+    Every tier asks for the municipality and the words. Words in turned order are only asked of registry names that no row of the source has
+    as they are.
+    """
+    t, registry = getattr(v, name), v.sd.select(*KEY)
+    out = t.join(registry, KEY, "left_anti")
+    if name == "postal":
+        turned = registry.where("siruta is not null and core_name_norm is not null").join(t.select(*KEY), KEY, "left_anti").select("siruta", F.col("core_name_norm").alias("core_name_norm_swapped"))
+        out = out.join(turned, ["siruta", "core_name_norm_swapped"], "left_anti")
+    return out
+
+
+def _gap(v: Views, name: str) -> DataFrame:
+    g = v.sd.join(met_keys(v, name), KEY, "left").groupBy("name_normalized").agg(F.min("name").alias("name"), F.count_distinct("uat").alias("uats_in_registry"), F.count_distinct(F.when(F.col("hit") == 1, F.col("uat"))).alias(f"uats_with_{name}_match"))
+    return g.where(f"uats_in_registry >= 10 and uats_with_{name}_match = 0").orderBy(F.desc("uats_in_registry"), "name_normalized").limit(30).drop("name_normalized")
 
 
 for _s in ("osm", "postal", "renns"):
     CATALOG[f"{_s}_judet_coverage"] = lambda v, s=_s: _coverage(v, getattr(v, f"{s}_m"), s)
-    CATALOG[f"registry_{_s}_gap"] = lambda v, s=_s: _gap(v, getattr(v, f"{s}_m"), s)
+    CATALOG[f"registry_{_s}_gap"] = lambda v, s=_s: _gap(v, s)
 
 
 @named
 def osm_only_prominent(v: Views) -> DataFrame:
-    return _unmatched(v.osm, v.osm_m).orderBy(F.desc("importance"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "highway_class", "length_m", "importance")
+    return unmatched(v, "osm").orderBy(F.desc("importance"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "highway_class", "length_m", "importance")
 
 
 @named
 def postal_only_streets(v: Views) -> DataFrame:
-    return _unmatched(v.postal, v.postal_m).orderBy(F.desc("sub_ranges"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "source_sheet", "sub_ranges")
+    return unmatched(v, "postal").orderBy(F.desc("sub_ranges"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "source_sheet", "sub_ranges")
 
 
 @named
 def renns_only_streets(v: Views) -> DataFrame:
-    return _unmatched(v.renns, v.renns_m).orderBy(F.desc("instances"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "road_type_raw", "instances")
+    return unmatched(v, "renns").orderBy(F.desc("instances"), "id").limit(50).select(F.col("siruta").alias("uat_siruta"), "name", "road_type_raw", "instances")
 
 
 @named
@@ -335,7 +356,7 @@ def external_corroboration_gap(v: Views) -> DataFrame:
 
     A row of such a name can only be matched by its words in turned order: by a registry name that no row of the source itself has.
     """
-    key = ["siruta", "core_name_norm"]
+    key = KEY
     registry = v.sd.select(*key).where("siruta is not null and core_name_norm is not null").distinct()
     turned = registry.join(v.postal.select(*key), key, "left_anti").select(F.col("siruta"), F.col("core_name_norm").alias("core_name_norm_swapped"))
     postal = v.postal.join(turned, ["siruta", "core_name_norm_swapped"], "left_anti")
@@ -347,10 +368,8 @@ def external_corroboration_gap(v: Views) -> DataFrame:
 
 @named
 def registry_uncorroborated(v: Views) -> DataFrame:
-    x = v.sd
-    for m in (v.osm_m, v.postal_m, v.renns_m):
-        x = x.join(m.select(F.col("left_id").alias("id")), "id", "left_anti")
-    return x.orderBy("judet", "uat", "name", "id").limit(100).select("judet", "uat", "name", F.lit(1).alias("uncorroborated"))
+    met = met_keys(v, "osm").union(met_keys(v, "postal")).union(met_keys(v, "renns")).drop("hit")
+    return v.sd.join(met, KEY, "left_anti").orderBy("judet", "uat", "name", "id").limit(100).select("judet", "uat", "name", F.lit(1).alias("uncorroborated"))
 
 
 @named
@@ -374,7 +393,7 @@ def high_confidence_registry_misses(v: Views) -> DataFrame:
 
 @named
 def type_variant_candidates(v: Views) -> DataFrame:
-    x = v.all_names.where("core_name_norm is not null")
-    g = x.select("siruta", "core_name_norm", "street_type", F.explode("sources").alias("source")).groupBy("siruta", "core_name_norm").agg(F.count_distinct("street_type").alias("n_types"), F.count_distinct("source").alias("n_sources_total")).where("n_types > 1")
-    y = x.join(g, ["siruta", "core_name_norm"])
+    same = Window.partitionBy(*KEY)
+    x = v.all_names.where("siruta is not null and core_name_norm is not null").withColumn("n_types", F.size(F.collect_set("street_type").over(same)))
+    y = x.withColumn("n_sources_total", F.size(F.array_distinct(F.flatten(F.collect_list("sources").over(same)))).cast("long")).where("n_types > 1")
     return y.orderBy(F.desc("n_sources_total"), "judet", "uat", "core_name_norm", "street_type", "siruta").limit(200).select("judet", "uat", "siruta", "core_name_norm", "street_type", "name", "corroboration_count", "n_sources_total")

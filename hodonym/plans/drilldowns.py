@@ -11,7 +11,7 @@ from hodonym.functions import text as tx
 from hodonym.operators import profiles, roads
 from hodonym.operators.classify import coverage_class
 from hodonym.plans.adapter import Views
-from hodonym.plans.catalog import _persons, _roads, n_if, n_rows, pct
+from hodonym.plans.catalog import _persons, _roads, n_if, n_rows, pct, unmatched
 from hodonym.plans.catalog_sql import _COVER, _ROADS, _pct
 from hodonym.plans.panels import _CULT, _PREPS, _SP, PANELS, PANELS_SQL, panel, unit_pages
 from hodonym.sources.readers import SECTORS
@@ -337,7 +337,7 @@ def municipality_genders(v: Views) -> DataFrame:
 ALL_UNITS = 3181
 
 for _s in ("postal", "renns"):
-    PANELS[f"unmatched_{_s}_by_unit"] = lambda v, s=_s: profiles.top_per_group(getattr(v, s).join(getattr(v, f"{s}_m").select(F.col("right_id").alias("id")), "id", "left_anti"), ["siruta"], ["id"], 3).select("siruta", "id", "name", "rn")
+    PANELS[f"unmatched_{_s}_by_unit"] = lambda v, s=_s: profiles.top_per_group(unmatched(v, s), ["siruta"], ["id"], 3).select("siruta", "id", "name", "rn")
     panel(f"select siruta, id, name, rn from (select siruta, id, name, row_number() over (partition by siruta order by id) rn from {_s} where id not in (select right_id from {_s}_m)) where rn <= 3")(PANELS[f"unmatched_{_s}_by_unit"])
     PANELS_SQL[f"unmatched_{_s}_by_unit"] = PANELS_SQL.pop("<lambda>")
     PANELS.pop("<lambda>")

@@ -14,7 +14,7 @@ from hodonym.operators import match, profiles, upserts
 from hodonym.operators.classify import coverage_class, filter_class, macro_class, municipality_class, street_theme, top_name_class, unit_theme_class
 from hodonym.operators.consolidate import additive_union
 from hodonym.plans.adapter import CTES, Views
-from hodonym.plans.catalog import TOKENS, _persons, _roads, n_if, n_rows, pct
+from hodonym.plans.catalog import TOKENS, _persons, _roads, n_if, n_rows, pct, unmatched
 from hodonym.plans.catalog_sql import _CLASS, _COVER, _ROADS, _pct
 
 PANELS: dict[str, Callable[[Views], DataFrame]] = {}
@@ -682,8 +682,7 @@ def coverage_by_unit(v: Views) -> DataFrame:
 
 @panel("select siruta, name, importance, rn from (select siruta, name, importance, row_number() over (partition by siruta order by importance desc, id) rn from osm where id not in (select right_id from osm_m)) where rn <= 3")
 def unmatched_roads_by_unit(v: Views) -> DataFrame:
-    x = v.osm.join(v.osm_m.select(F.col("right_id").alias("id")), "id", "left_anti")
-    return profiles.top_per_group(x, ["siruta"], [F.desc("importance"), "id"], 3).select("siruta", "name", "importance", "rn")
+    return profiles.top_per_group(unmatched(v, "osm"), ["siruta"], [F.desc("importance"), "id"], 3).select("siruta", "name", "importance", "rn")
 
 
 @panel(f"select gender, honorees, km, {_pct('km', 'sum(km) over ()')} pct from (select gender, count(distinct full_name) honorees, sum(o.length_m) / 1000.0 km from sd s join p on p.core_name_norm = s.core_name_norm {_ROADS} where gender in ('F', 'M') group by 1)")

@@ -40,6 +40,8 @@ SUPPORT = 3
 #: (agree, disagree) for birth, death, identifier, profession, gender.
 EVIDENCE = ((4.0, -6.0), (4.0, -6.0), (6.0, -6.0), (1.5, -3.0), (0.3, -4.0))
 FACTS = ("birth_year", "death_year", "wikidata_qid", "profession", "gender")
+#: Surnames that must show a pet form for it to be learned.
+PET_SURNAMES = 2
 #: The posterior that a spelling's best form must have; 0 attaches every spelling to its best form.
 LEAST_POSTERIOR = 0.5
 #: Shorter names are not sought with an edit.
@@ -88,9 +90,18 @@ def _form_blocks(form: str) -> list[str]:
     return sorted(out)
 
 
+def _forms_of_pets(pets: list[str] | None) -> dict[str, set[str]]:
+    """Learned pet forms (``pet given`` each) by pet."""
+    out: dict[str, set[str]] = {}
+    for pet, given in (p.split() for p in pets or ()):
+        out.setdefault(pet, set()).add(given)
+    return out
+
+
 @F.udf(T.ArrayType(T.StringType()), useArrow=True)
-def _spelling_blocks(key: str) -> list[str]:
-    """Blocks of a spelling."""
+def _spelling_blocks(key: str, pets: list[str] | None) -> list[str]:
+    """Blocks of a spelling, with the pet forms learned for its words."""
+    learned = _forms_of_pets(pets)
     w, told = _parts(key)
     out = {f"k{told} {' '.join(w)}"}
     if not _short(w):
@@ -99,7 +110,7 @@ def _spelling_blocks(key: str) -> list[str]:
     out |= {f"i{told} {y} {x}" for x in letters for y in full}
     out |= {f"p{told} {a} {b}" for a, b in itertools.combinations(full, 2)}
     for i, x in enumerate(w):
-        out |= {f"k{told} {' '.join(sorted((*w[:i], g, *w[i + 1 :])))}" for g in givens(x) if len(w) > 1}
+        out |= {f"k{told} {' '.join(sorted((*w[:i], g, *w[i + 1 :])))}" for g in (*givens(x), *learned.get(x, ())) if len(w) > 1}
     return sorted(out)
 
 
@@ -112,20 +123,20 @@ def _edited_orders(key: str) -> list[str]:
     return sorted({" ".join(w), " ".join(reversed(w))})
 
 
-def _word_channel(x: str, y: str, given: frozenset[str] | set[str]) -> float | None:
-    """Log-likelihood that the word ``y`` of a form is written as ``x``."""
+def _word_channel(x: str, y: str, given: frozenset[str] | set[str], pets: dict[str, set[str]]) -> float | None:
+    """Log-likelihood that the word ``y`` of a form is written as ``x``; ``pets`` are pet forms beside the fixed list."""
     if len(x) == 1:
         return INITIAL if y.startswith(x) else None
-    if y in givens(x):
+    if y in givens(x) or y in pets.get(x, ()):
         return PET
-    if x in givens(y):
+    if x in givens(y) or x in pets.get(y, ()):
         return None
     if edit_cost(x, y) <= 1 and min(len(x), len(y)) >= 3:
         return OTHER_GIVEN if x in given and y in given else TYPO
     return None
 
 
-def channel(spelling: str, form: str, given: frozenset[str] | set[str]) -> float | None:
+def channel(spelling: str, form: str, given: frozenset[str] | set[str], pets: dict[str, set[str]] | None = None) -> float | None:
     """Log-likelihood that ``form`` is written as ``spelling`` (keys), or None.
 
     One word may be misspelt or a pet form, any number may be initials, and given names may be left out as long as another whole
@@ -143,13 +154,13 @@ def channel(spelling: str, form: str, given: frozenset[str] | set[str]) -> float
             right.remove(x)
             kept.append(x)
     if len(a) == len(b) and len(left) == 1:
-        return _word_channel(left[0], right[0], given)
+        return _word_channel(left[0], right[0], given, pets or {})
     gone = len(b) - len(a)
     if len(a) < 2 or not any(len(x) > 1 and (not gone or x not in given) for x in kept) or not _short(b) or sum(len(x) > 1 for x in left) > 1:
         return None
     best = None
     for some in itertools.permutations(right, len(left)):
-        likes = [_word_channel(x, y, given) for x, y in zip(left, some)]
+        likes = [_word_channel(x, y, given, pets or {}) for x, y in zip(left, some)]
         out = list(right)
         for y in some:
             out.remove(y)
@@ -160,15 +171,15 @@ def channel(spelling: str, form: str, given: frozenset[str] | set[str]) -> float
 
 
 def _score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Columns in: s, key, full, its given names, own form with its frequency and support, then form, its frequency, support and given names, and the facts of both."""
+    """Columns in: s, key, full, its given names and pet forms, own form with its frequency and support, then form, its frequency, support and given names, and the facts of both."""
     for b in batches:
         kept: list[tuple] = []
-        for s, key, full, g, own, n, sure, form, form_n, form_sure, form_g, *facts in zip(*(c.to_pylist() for c in b.columns)):
+        for s, key, full, g, pets, own, n, sure, form, form_n, form_sure, form_g, *facts in zip(*(c.to_pylist() for c in b.columns)):
             if form == own:
                 continue
-            given, name = {*(g or ()), *(form_g or ())}, form.partition("|")[0]
-            likes = [channel(key, form, given)]
-            if full is not None and full != key and (y := channel(full, form, given)) is not None:
+            given, name, learned = {*(g or ()), *(form_g or ())}, form.partition("|")[0], _forms_of_pets(pets)
+            likes = [channel(key, form, given, learned)]
+            if full is not None and full != key and (y := channel(full, form, given, learned)) is not None:
                 likes.append(y + FULL_NAME)
             likes = [x for x in likes if x is not None]
             if not likes or (form_sure, form_n, form) <= (sure, n, own or key) and max(likes) <= TYPO and full != name:
@@ -194,19 +205,34 @@ def _ends(full_name: str) -> list[str] | None:
 
 
 def given_names(persons: DataFrame) -> DataFrame:
-    """(w): the words that open at least two full names of two words and open names three times as often as they end them.
+    """(w, first): the words that open at least two full names of two words and open names three times as often as they end them, with how many they open.
 
     Titles are no given names, nor are pet forms of another given name.
     """
     spark = persons.sparkSession
     words = persons.where("full_name is not null").select(_ends("full_name").alias("e")).where("e is not null").select(F.posexplode("e").alias("at", "w"))
     counts = words.groupBy("w").agg(F.sum(1 - F.col("at")).alias("first"), F.count(F.lit(1)).alias("n"))
-    named = counts.where((F.col("first") >= 2) & (F.col("first") >= 3 * (F.col("n") - F.col("first"))) & ~F.col("w").isin(sorted(TITLES))).select("w")
+    named = counts.where((F.col("first") >= 2) & (F.col("first") >= 3 * (F.col("n") - F.col("first"))) & ~F.col("w").isin(sorted(TITLES))).select("w", "first")
     named = materialize(named, "given")
     pets = spark.createDataFrame([(p, g) for p in PET_FORMS for g in givens(p)], "pet string, w string")  # a fixed list
     return named.join(pets.join(named, "w").select(F.col("pet").alias("w")), "w", "left_anti")
 
 
+def learned_pet_forms(names: DataFrame, given: DataFrame) -> DataFrame:
+    """(w, pet): a word and, as ``word given``, the given name for which it stands.
+
+    Two words are forms of one name if at least ``PET_SURNAMES`` surnames have people of one identifier who bear now the one, now the other;
+    they are no single edit apart, and the one that opens more full names is the given name.
+    """
+    two = names.where((F.col("known") == 1) & F.col("wikidata_qid").isNotNull() & (F.size(_words("key")) == 2)).select("wikidata_qid", _words("key").alias("k")).distinct()
+    ends = two.select("wikidata_qid", F.explode(F.array(F.struct(F.col("k")[0].alias("y"), F.col("k")[1].alias("w")), F.struct(F.col("k")[1].alias("y"), F.col("k")[0].alias("w")))).alias("x")).select("wikidata_qid", "x.y", "x.w").where(F.length("w") > 2).distinct()
+    other = ends.select("wikidata_qid", "y", F.col("w").alias("g"))
+    both = ends.join(other, ["wikidata_qid", "y"]).where((F.col("w") != F.col("g")) & (F.levenshtein("w", "g", 1) < 0)).groupBy("w", "g").agg(F.count_distinct("y").alias("n")).where(F.col("n") >= PET_SURNAMES)
+    often = lambda c, n: given.select(F.col("w").alias(c), F.col("first").alias(n))
+    ranked = both.join(often("g", "g_first"), "g").join(often("w", "w_first"), "w", "left").where(F.col("g_first") > F.coalesce("w_first", F.lit(0)))
+    return ranked.select("w", F.concat_ws(" ", "w", "g").alias("pet"))
+
+
 def _sure(support: str) -> Column:
     """Whether other names support a form's surname."""
     return (F.coalesce(support, F.lit(0)) >= SUPPORT).alias(support)
@@ -238,6 +264,9 @@ def person_groups(persons: DataFrame, streets: DataFrame, least: float = LEAST_P
     names = names.withColumn("key", _key(F.when(F.startswith("s", F.lit(MARK)), F.split("s", MARK)[1]).otherwise(F.col("s")))).where("key != '' and key not like '#%'")
     names = materialize(names, "keys")
 
+    learned = materialize(learned_pet_forms(names, given), "learned")
+    given = given.join(learned.select("w").distinct(), "w", "left_anti")
+
     # people of one name: where years or identifiers contradict each other, the row's own value belongs to its form
     real = ~F.startswith("s", F.lit(MARK))
     many = [F.count_distinct(F.when(real, F.col(f))) > 1 for f in ("birth_year", "death_year")] + [(F.count_distinct(F.when(real, F.col("wikidata_qid"))) > 1) & (F.count("birth_year") + F.count("death_year") == 0)]
@@ -247,6 +276,7 @@ def person_groups(persons: DataFrame, streets: DataFrame, least: float = LEAST_P
     words = names.select(F.explode(F.array_compact(F.array("key", "full"))).alias("k")).distinct().select("k", F.explode(_words("k")).alias("w"))
     kept = words.join(given, "w").groupBy("k").agg(F.sort_array(F.collect_set("w")).alias("g"))
     of = lambda k, g: kept.select(F.col("k").alias(k), F.col("g").alias(g))
+    pets = materialize(words.join(learned, "w").groupBy("k").agg(F.sort_array(F.collect_set("pet")).alias("pets")), "pets")
     names = names.join(several, "key", "left").withColumn("own", own).drop("told_by").join(of("key", "key_g"), "key", "left").join(of("full", "full_g"), "full", "left")
     none = F.array().cast("array<string>")
     names = materialize(names.withColumn("g", F.array_union(F.coalesce("key_g", none), F.coalesce("full_g", none))), "names")
@@ -262,11 +292,12 @@ def person_groups(persons: DataFrame, streets: DataFrame, least: float = LEAST_P
     forms = materialize(forms.join(supported, "form", "left").withColumn("eid", F.xxhash64("form")), "forms")
 
     blocks = forms.select("eid", "form").repartition(spread).select("eid", F.explode(_form_blocks("form")).alias("b")).select("eid", F.xxhash64("b").alias("b"))
-    keys = names.select("s", F.explode(F.array_distinct(F.array_compact(F.array("key", "full")))).alias("k")).repartition(spread)
-    sought = keys.select("s", F.explode(_spelling_blocks("k")).alias("b")).select("s", F.xxhash64("b").alias("b"))
-    rows = names.select("s", "key", "full", "g", "own", *FACTS)
+    keys = names.select("s", F.explode(F.array_distinct(F.array_compact(F.array("key", "full")))).alias("k")).join(pets, "k", "left").repartition(spread)
+    sought = keys.select("s", F.explode(_spelling_blocks("k", "pets")).alias("b")).select("s", F.xxhash64("b").alias("b"))
+    both = [pets.select(F.col("k").alias(k), F.col("pets").alias(f"{k}_pets")) for k in ("key", "full")]
+    rows = names.select("s", "key", "full", "g", "own", *FACTS).join(both[0], "key", "left").join(both[1], "full", "left").withColumn("pets", F.array_union(F.coalesce("key_pets", none), F.coalesce("full_pets", none)))
     self_ = forms.select(F.col("form").alias("own"), F.col("form_n").alias("own_n"), "support")
-    rows = rows.join(self_, "own", "left").select("s", "key", "full", "g", "own", F.coalesce("own_n", F.lit(0)).alias("own_n"), _sure("support"), *FACTS)
+    rows = rows.join(self_, "own", "left").select("s", "key", "full", "g", "pets", "own", F.coalesce("own_n", F.lit(0)).alias("own_n"), _sure("support"), *FACTS)
     target = forms.select("eid", "form", "form_n", _sure("support").alias("form_support"), "form_g", *(f"form_{f}" for f in FACTS))
     halves = lambda c, told, lengths: F.explode(F.transform(F.array(*half_blocks(F.col(c), lengths)), lambda x: F.struct(F.xxhash64(told, x["b"]).alias("b"), x["rest"].alias("rest")))).alias("x")
     generation = lambda c: F.coalesce(F.get(F.split(F.split(c, "[|]")[0], "#"), F.lit(1)), F.lit(""))
@@ -274,7 +305,7 @@ def person_groups(persons: DataFrame, streets: DataFrame, least: float = LEAST_P
     theirs = keys.select("s", F.explode(_edited_orders("k")).alias("t"), generation("k").alias("told")).select("s", halves("t", F.col("told"), [-1, 0, 1])).select("s", "x.b", F.col("x.rest").alias("s_rest"))
     edited = theirs.join(ours, "b").where(F.levenshtein("rest", "s_rest", 1) >= 0).select("s", "eid")
     pairs = sought.join(blocks, "b").select("s", "eid").unionByName(edited).distinct().join(target, "eid").join(rows, "s")
-    scored = pairs.select("s", "key", "full", "g", "own", "own_n", "support", "form", "form_n", "form_support", "form_g", *FACTS, *(f"form_{f}" for f in FACTS)).mapInArrow(_score, "s string, form string, score double")
+    scored = pairs.select("s", "key", "full", "g", "pets", "own", "own_n", "support", "form", "form_n", "form_support", "form_g", *FACTS, *(f"form_{f}" for f in FACTS)).mapInArrow(_score, "s string, form string, score double")
     best = scored.groupBy("s").agg(F.max_by("form", F.struct("score", "form")).alias("form"), F.max("score").alias("top"), F.sum(F.exp("score")).alias("sum"))
     stay = F.log("own_n") + F.when(F.coalesce("support", F.lit(99)) >= SUPPORT, 0.0).otherwise(UNSUPPORTED)
     chosen = names.select("s", "own").join(self_, "own", "left").join(best, "s", "left")

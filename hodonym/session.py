@@ -11,8 +11,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 _FOLDERS: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -81,20 +80,23 @@ def ship_code(spark: SparkSession) -> None:
     context.addPyFile(at.toString())
 
 
-#: Rows up to which the planner may broadcast a written table.
-FEW_ROWS = 10_000
+#: Bytes on disk up to which the planner may broadcast a written table.
+FEW_BYTES = 1 << 20
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read back, so that losing executors costs no more than a re-read.
 
-    What is on disk is compressed and tells little of its size in memory. So the rows are counted while they are written, and joins
-    with a table of more than ``FEW_ROWS`` are asked to sort and merge; those with a smaller one are left to the planner.
+    What is on disk is compressed and tells little of its size in memory. So joins with a table of more than ``FEW_BYTES`` are asked to
+    sort and merge; those with a smaller one are left to the planner.
     """
-    at, seen = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}", Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(at)
-    back = df.sparkSession.read.schema(df.schema).parquet(at)
-    return back if seen.get["n"] <= FEW_ROWS else back.hint("merge")
+    spark = df.sparkSession
+    at, context = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}", spark.sparkContext
+    df.write.parquet(at)
+    path = context._jvm.org.apache.hadoop.fs.Path(at)
+    size = path.getFileSystem(context._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    back = spark.read.schema(df.schema).parquet(at)
+    return back if size <= FEW_BYTES else back.hint("merge")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -92,8 +92,8 @@ def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return (u % np.uint64(size)).astype(np.int64), ((u >> np.uint64(20)) % np.uint64(size)).astype(np.int64)
 
 
-def _sweep(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
-    """(best local alignment score, its last place in the document and in the item, longest run of equal words)."""
+def sweep(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
+    """(best local alignment score, its last place in the document and in the item, longest run of equal words) of two arrays of word codes."""
     n = len(doc)
     steps = np.arange(1, n + 1) * -GAP
     row, runs, best, longest = np.zeros(n + 1, np.int64), np.zeros(n + 1, np.int64), (0, 0, 0), 0
@@ -113,17 +113,14 @@ def _sweep(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, int, int]:
     return *best, longest
 
 
-def align(doc: np.ndarray, item: np.ndarray) -> tuple[int, int, float]:
-    """(best local alignment score, longest run of equal consecutive words, density) of two arrays of word codes.
-
-    The density is the score as a part of what the longer of the two aligned stretches would score if all its words were equal.
-    """
-    score, at, k, run = _sweep(doc, item)
+def density(doc: np.ndarray, item: np.ndarray, best: tuple[int, int, int, int]) -> float:
+    """The score of the best alignment (as from ``sweep``) as a part of what the longer of its two stretches would score if all its words were equal."""
+    score, at, k, _ = best
     if not score:
-        return 0, run, 0.0
+        return 0.0
     # read backwards from its end, the best alignment ends at its beginning
-    _, back, up, _ = _sweep(doc[at::-1], item[k::-1])
-    return score, run, score / (MATCH * (max(back, up) + 1))
+    _, back, up, _ = sweep(doc[at::-1], item[k::-1])
+    return score / (MATCH * (max(back, up) + 1))
 
 
 def _coded_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,9 +221,10 @@ def _aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             region, item = region.values.to_numpy(), item.values.to_numpy()
             if (at := _stretch(region, item)) is None:
                 continue
-            score, run, density = align(region[at[0] : at[1]], item[at[2] : at[3]])
-            if score >= LEAST_SCORE and (run >= WINDOW or density >= LEAST_DENSITY):
-                out.append((doc_id, item_id, score, score / (MATCH * len(item)), run))
+            near, part = region[at[0] : at[1]], item[at[2] : at[3]]
+            best = sweep(near, part)
+            if best[0] >= LEAST_SCORE and (best[3] >= WINDOW or density(near, part, best) >= LEAST_DENSITY):
+                out.append((doc_id, item_id, best[0], best[0] / (MATCH * len(item)), best[3]))
         if out:
             yield pa.record_batch([pa.array(x) for x in zip(*out)], names=["doc_id", "item_id", "score", "share", "run"])
 

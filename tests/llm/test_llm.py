@@ -518,3 +518,27 @@ def test_queries(spark, name):
         same(df, connection(), LLM_SQL[name])
     else:
         assert df.count() > 0
+
+
+# ---- what must hold of every result ---------------------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables here")
+def test_links_and_groups_are_consistent(spark):
+    """A cadastre row is of one street and its links share one municipality; pairs of spellings are the pairs of their groups; survivors are streets' smallest rows."""
+    from hodonym.session import table
+
+    d = str(DATA)
+    read = lambda name: table(spark, d, name)
+    links = LLM_QUERIES["p1_links"](spark, d).join(read("streets").selectExpr("id street_id", "concat(judet, '|', uat) place"), "street_id")
+    assert links.groupBy("renns_id").agg({"place": "approx_count_distinct"}).where("`approx_count_distinct(place)` > 1").count() == 0
+    assert links.where("confidence < 0.5 or confidence > 1").count() == 0
+    groups = {}
+    for r in LLM_QUERIES["p3_groups"](spark, d).collect():
+        groups.setdefault(r.person, set()).add(r.name)
+    pairs = {tuple(r) for r in LLM_QUERIES["p3_found"](spark, d).collect()}
+    assert pairs == {p for g in groups.values() for p in itertools.combinations(sorted(g), 2)}
+    best = LLM_QUERIES["p6_survivors"](spark, d)
+    assert best.where("n_rows < 2 or name is null or street_type = ''").count() == 0 and best.count() == best.select("first_id").distinct().count()
+    use = {r.container_kind: r for r in LLM_QUERIES["p8_use"](spark, d).collect()}
+    assert len({r.n_tokens for r in use.values()}) == 1 and all(r.n_containers * (1 - r.filled) < 1.5 for r in use.values())

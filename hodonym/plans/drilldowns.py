@@ -44,16 +44,11 @@ def foreigners_by_judet(v: Views) -> DataFrame:
     return _top(g, ["judet"], "n", "core_name_norm", 10)
 
 
-def _attribute_by_judet(column: str) -> None:
-    name = f"{column}s_by_judet"
-    PANELS[name] = lambda v: _persons(v, column).where(F.col(column).isNotNull()).groupBy(county().alias("judet"), column).agg(F.count_distinct("core_name_norm").alias("n"))
-    panel(f"select {_B} judet, {column}, count(distinct core_name_norm) n from {_SP} where {column} is not null group by 1, 2")(PANELS[name])
-    PANELS_SQL[name] = PANELS_SQL.pop("<lambda>")
-    PANELS.pop("<lambda>")
-
-
 for _c in ("profession", "era"):
-    _attribute_by_judet(_c)
+
+    @panel(f"select {_B} judet, {_c}, count(distinct core_name_norm) n from {_SP} where {_c} is not null group by 1, 2", f"{_c}s_by_judet")
+    def attribute_by_judet(v: Views, column: str = _c) -> DataFrame:
+        return _persons(v, column).where(F.col(column).isNotNull()).groupBy(county().alias("judet"), column).agg(F.count_distinct("core_name_norm").alias("n"))
 
 
 @panel(f"select {_B} judet, count(*) filter (gender = 'M') m, count(*) filter (gender = 'F') f from {_SP} group by 1")
@@ -337,10 +332,10 @@ def municipality_genders(v: Views) -> DataFrame:
 ALL_UNITS = 3181
 
 for _s in ("postal", "renns"):
-    PANELS[f"unmatched_{_s}_by_unit"] = lambda v, s=_s: profiles.top_per_group(unmatched(v, s), ["siruta"], ["id"], 3).select("siruta", "id", "name", "rn")
-    panel(f"select siruta, id, name, rn from (select siruta, id, name, row_number() over (partition by siruta order by id) rn from {_s} where id not in (select right_id from {_s}_m)) where rn <= 3")(PANELS[f"unmatched_{_s}_by_unit"])
-    PANELS_SQL[f"unmatched_{_s}_by_unit"] = PANELS_SQL.pop("<lambda>")
-    PANELS.pop("<lambda>")
+
+    @panel(f"select siruta, id, name, rn from (select siruta, id, name, row_number() over (partition by siruta order by id) rn from {_s} where id not in (select right_id from {_s}_m)) where rn <= 3", f"unmatched_{_s}_by_unit")
+    def unmatched_by_unit(v: Views, source: str = _s) -> DataFrame:
+        return profiles.top_per_group(unmatched(v, source), ["siruta"], ["id"], 3).select("siruta", "id", "name", "rn")
 
 
 @panel("select count(distinct uat_siruta) units_with_rows, 3181 all_units, round(100.0::double * count(distinct uat_siruta) / 3181, 1) pct, (select count(distinct siruta) from streets) registry_units, count(*) filter (uat_siruta in (179141, 179150, 179169, 179178, 179187, 179196)) capital_rows from renns_streets")

@@ -21,11 +21,11 @@ PANELS: dict[str, Callable[[Views], DataFrame]] = {}
 PANELS_SQL: dict[str, str] = {}
 
 
-def panel(sql: str | None) -> Callable:
+def panel(sql: str | None, name: str | None = None) -> Callable:
     def add(f: Callable[[Views], DataFrame]) -> Callable[[Views], DataFrame]:
-        PANELS[f.__name__] = f
+        PANELS[name or f.__name__] = f
         if sql:
-            PANELS_SQL[f.__name__] = CTES + sql
+            PANELS_SQL[name or f.__name__] = CTES + sql
         return f
 
     return add

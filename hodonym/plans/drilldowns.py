@@ -523,7 +523,7 @@ def regions_of_customers(v: Views) -> DataFrame:
 _CLASS_OF = "case street_type when 'Bulevardul' then 'primary' when 'Calea' then 'secondary' when 'Șoseaua' then 'tertiary' when 'Strada' then 'residential' else 'service' end"
 
 
-@panel(f"""select uat_siruta, name_normalized, arg_min(name, id) as name, arg_min(locality_raw, id) locality_raw, array_to_string(list(id order by id), ',') way_ids,
+@panel(f"""select uat_siruta, name_normalized, arg_min({{'n': name, 'l': locality_raw}}, id)['n'] as name, arg_min({{'n': name, 'l': locality_raw}}, id)['l'] locality_raw, array_to_string(list(id order by id), ',') way_ids,
     arg_max(c, (list_position(['service', 'pedestrian', 'living_street', 'residential', 'unclassified', 'tertiary', 'secondary', 'primary'], c), -id)) highway_class, arg_min(road_status, id) filter (road_status <> '') "ref"
     from (select *, {_CLASS_OF} c from renns_streets) group by 1, 2""")
 def merged_roads(v: Views) -> DataFrame:
